@@ -89,12 +89,17 @@ def _folded(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(value, r"(?U)^\s+|\s+$", "")))
 
 
-def link_key(value: Column) -> Column:
-    """Page name of a link: up to ``|`` or ``#``, without outer blanks and letter case; null if empty."""
-    name = _folded(F.regexp_replace(value, r"[|#][\s\S]*$", ""))
+def name_key(value: Column) -> Column:
+    """A page's title, file name or alias without outer blanks and letter case; null if empty."""
+    name = _folded(value)
     return F.when(name != "", name)
 
 
+def link_key(value: Column) -> Column:
+    """Page name of a link: up to ``|`` or ``#``."""
+    return name_key(F.regexp_replace(value, r"[|#][\s\S]*$", ""))
+
+
 def path_key(value: Column) -> Column:
     """Source path: slashes, no leading ``./``."""
     path = F.regexp_replace(F.translate(_folded(value), "\\", "/"), r"^(\./)+", "")
@@ -136,8 +141,8 @@ def vault_references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
         .distinct()
     )
     names = F.array_union(
-        F.array(link_key(F.col("title")), link_key(F.regexp_replace(F.regexp_replace("path", r"^[\s\S]*[/\\]", ""), r"(?i)\.md\s*$", ""))),
-        F.transform(F.coalesce("aliases", F.array().cast("array<string>")), link_key),
+        F.array(name_key(F.col("title")), name_key(F.regexp_replace(F.regexp_replace("path", r"^[\s\S]*[/\\]", ""), r"(?i)\.md\s*$", ""))),
+        F.transform(F.coalesce("aliases", F.array().cast("array<string>")), name_key),
     )
     sources = newest(table(spark, folder, "source_manifest"), ["path"], "last_processed", ["path", "last_processed", "status", "first_seen"])
     images = newest(table(spark, folder, "image_manifest"), ["rel_path"], "registered_at", ["rel_path", "registered_at", "status"])
