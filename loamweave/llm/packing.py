@@ -33,9 +33,11 @@ class _Sums:
         self.renew(count)
 
     def renew(self, count: np.ndarray) -> None:
-        n = 2 * len(count)
-        there = np.fft.rfft((count > 0).astype(float), n)
-        self.pairs = np.fft.irfft(there * there, n)[: len(count)] > 0.5
+        there = count > 0
+        self.known = int(there.sum())
+        n = 1 << (2 * len(count) - 3).bit_length()
+        wave = np.fft.rfft(there.astype(float), n)
+        self.pairs = np.fft.irfft(wave * wave, n)[: len(count)] > 0.5
 
     def complement(self, count: np.ndarray, gap: int) -> list[int] | None:
         """One, two or three available sizes whose sum is ``gap``."""
@@ -43,16 +45,16 @@ class _Sums:
             return [gap]
         if self.pairs[gap] and (pair := _pair(count, gap)):
             return pair
-        for again in (True, False):
-            sizes = np.arange(1, gap - 1)
-            for a in sizes[(count[sizes] > 0) & self.pairs[gap - sizes]][::-1][: None if not again else 8]:
+        sizes = np.arange(1, gap - 1)
+        for tries, a in enumerate(sizes[(count[sizes] > 0) & self.pairs[gap - sizes]][::-1]):
+            if tries == 8 and np.count_nonzero(count) < 0.9 * self.known:
+                self.renew(count)
+            if self.pairs[gap - int(a)]:
                 count[a] -= 1
                 pair = _pair(count, gap - int(a))
                 count[a] += 1
                 if pair:
                     return [int(a), *pair]
-            if again:
-                self.renew(count)
         return None
 
 
