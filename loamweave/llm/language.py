@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -295,17 +296,29 @@ def fit_on(documents: DataFrame, per_language: int = SAMPLE) -> Model:
     return fit([(s, LANGUAGES.index(r["code"])) for r in drawn if r["text"] for _, s, _ in sentences(r["text"])])
 
 
+#: The model last used in this Python worker, with the scores of the words it has met.
+_LAST: dict[str, Model] = {}
+
+
+def _model(name: str, parts: tuple) -> Model:
+    if name not in _LAST:
+        used, values, least, shape = parts
+        whole = np.broadcast_to(least, shape).copy()
+        whole[used] = values
+        _LAST.clear()
+        _LAST[name] = Model(whole, Pieces())
+    return _LAST[name]
+
+
 def detect(texts: DataFrame, model: Model) -> DataFrame:
     """(src_table, rec_key, lang, confidence, segments) of (src_table, rec_key, text); null texts get a null language."""
+    name = uuid.uuid4().hex
     least = model.table[:-SCRIPTS].min(0)
     used = np.flatnonzero((np.abs(model.table / least - 1) > 1e-4).any(1))  # the sample's pieces
     shared = texts.sparkSession.sparkContext.broadcast((used, model.table[used], least, model.table.shape))
 
     def run(batches):
-        used, values, least, shape = shared.value
-        whole = np.broadcast_to(least, shape).copy()
-        whole[used] = values
-        own = Model(whole, Pieces())
+        own = _model(name, shared.value)
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
