@@ -8,10 +8,10 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _PLACES = {
-    "p1": "language", "p2": "neighbours", "p3": "ranking", "p4": "markup", "p5": "splitting", "p8": "packing", "p9": "mixing", "p10": "truncation",
+    "p1": "language", "p2": "neighbours", "p3": "ranking", "p4": "markup", "p5": "splitting", "p7": "scanrepair", "p8": "packing", "p9": "mixing", "p10": "truncation",
 }
 _NAMES = (
-    "p1_found p1_languages p2_found p2_neighbours p3_found p3_ranking p4_found p4_clean p5_found p5_pieces p8_found p8_fill p8_containers p9_found p9_shares p9_order p10_found p10_rates"
+    "p1_found p1_languages p2_found p2_neighbours p3_found p3_ranking p4_found p4_clean p5_found p5_pieces p7_found p7_repaired p8_found p8_fill p8_containers p9_found p9_shares p9_order p10_found p10_rates"
 ).split()
 
 
