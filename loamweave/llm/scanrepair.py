@@ -134,9 +134,25 @@ def furniture(lines: list[str], model: Regression) -> dict[int, str]:
                 out[i] = "page_number"
         elif not _PLACEHOLDER.match(x) and x[-1:] not in ":.!?," and not x[:1].islower() and (score[k] >= 0.5 or repeats[k] > 2 and len(x.split()) <= 9):
             out[i] = "header"
+    pages = [i for i, noise in out.items() if noise == "page_number"]
+    bare = [i for i in pages if _BARE.match(lines[i])]
+    for i in set(bare) - set(_in_step(lines, bare) if len(bare) == len(pages) else []):
+        del out[i]
     return out
 
 
+def _in_step(lines: list[str], bare: list[int]) -> list[int]:
+    """The longest row of bare numbers that count up by one; all of them where no two do."""
+    best: dict[int, list[int]] = {}
+    for i in bare:
+        n = int(lines[i])
+        row = [*best.get(n - 1, []), i]
+        if len(row) > len(best.get(n, [])):
+            best[n] = row
+    longest = max(best.values(), key=len, default=[])
+    return longest if len(longest) > 1 else bare
+
+
 def breaks(lines: list[str], out: dict[int, str]) -> list[tuple[int, int, str, str, str]]:
     """(line, next body line, left part, right part, mark) where a body line ends in a hyphen after a letter."""
     body = [i for i, x in enumerate(lines) if x.strip() and i not in out and not _PLACEHOLDER.match(x)]
