@@ -1,0 +1,141 @@
+"""Deterministic query planning: intent, entities, terms, rewriting with a fall-back, retry."""
+
+from __future__ import annotations
+
+import json
+import re
+import unicodedata
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from loamweave.functions.text import EXACT_CLASSES
+
+#: Words that tell an intent, in the order they are tried.
+INTENTS = (
+    ("global", "全局|概述|总结.*所有|一共有多少|总体|报告|全景|全部"),
+    ("comparison", r"对比|比较|\bvs\b|versus|区别|差异|不同|优劣"),
+    ("relation", "为什么|为何|如何.*影响|导致|关联|依赖|关系|引起|机理|根因"),
+    ("procedure", "如何|怎么|步骤|安装|校准|配置|流程|方法|怎样|设置|操作"),
+)
+#: Context mode of each intent.
+CONTEXT_MODES = {"lookup": "section", "procedure": "parent_section", "comparison": "multiple_sections", "relation": "evidence", "global": "global"}
+#: Pronouns, words dropped on retry, marks of a query enhanced by a hook, negations.
+PRONOUNS = re.compile("它|这个|那个|上一个|前面|之前|其|该|前者|后者|这东西|那东西|上述")
+RELAXED = re.compile("大雨(?:中|环境|下|时)?|小雨(?:中|环境|下|时)?|严格(?:地|的)?|仅仅|只(?:是)?|必须|一定(?:要)?|明显|大概|可能")
+ENHANCED = re.compile(r"关键词[:：]|关键词提取|扩展查询|中英互译|增强查询|query\s*[:：]", re.I)
+NEGATION = re.compile("不|没|无|非|禁止|排除|避免|不要|未")
+_EXACT = [re.compile(p) for p in EXACT_CLASSES.values()]
+
+
+@dataclass(frozen=True)
+class Plan:
+    query: str
+    normalized: str
+    intent: str
+    context_mode: str
+    entities: tuple[str, ...] = ()
+    exact_terms: tuple[str, ...] = ()
+    semantic_queries: tuple[str, ...] = ()
+    page_types: tuple[str, ...] = ()
+    rewritten: bool = False
+    retried: bool = False
+    warnings: tuple[str, ...] = ()
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), ensure_ascii=False, sort_keys=True)
+
+
+@dataclass(frozen=True)
+class Planner:
+    """catalog: names of known entities. synonyms: word to words. rewrite: a function of the plan to a dict, or None."""
+
+    catalog: tuple[str, ...] = ()
+    synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    rewrite: Callable[[Plan], dict | None] | None = None
+    mode: str = "auto"
+    timeout: float = 2.0
+
+    def plan(self, query: str, context: str = "") -> Plan:
+        text = normalize(query)
+        exact = exact_terms(text)
+        entities = tuple(dict.fromkeys([*resolve_entities(text, self.catalog), *exact]))
+        intent = detect_intent(text, len(entities))
+        warnings = ("enhanced_query",) if ENHANCED.search(text) else ()
+        made = Plan(query, text, intent, CONTEXT_MODES[intent], entities, exact, (text,), warnings=warnings)
+        return self._rewritten(made) if self._wants_rewrite(made, context) else made
+
+    def _wants_rewrite(self, plan: Plan, context: str) -> bool:
+        if self.mode != "auto" or self.rewrite is None:
+            return self.mode == "force" and self.rewrite is not None
+        vague = bool(PRONOUNS.search(plan.normalized) and context) or len(plan.normalized) < 6
+        return vague or plan.intent in ("comparison", "relation") and len(plan.entities) >= 2
+
+    def _rewritten(self, plan: Plan) -> Plan:
+        """The plan with up to three queries, or with a warning if the answer is late, malformed or loses a constraint."""
+        pool = ThreadPoolExecutor(1)
+        try:
+            said = pool.submit(self.rewrite, plan).result(self.timeout)
+        except Exception as e:  # noqa: BLE001
+            return replace(plan, warnings=(*plan.warnings, f"rewrite_failed:{type(e).__name__}"))
+        finally:
+            pool.shutdown(wait=False)
+        queries = said.get("queries") if isinstance(said, dict) else None
+        if not isinstance(queries, list) or not queries or not all(isinstance(q, str) and q.strip() for q in queries):
+            return replace(plan, warnings=(*plan.warnings, "rewrite_malformed"))
+        if not 0 <= said.get("confidence", 1.0) <= 1 or not preserved(plan.normalized, queries, plan.exact_terms):
+            return replace(plan, warnings=(*plan.warnings, "rewrite_lost_constraint"))
+        return replace(plan, semantic_queries=tuple(dict.fromkeys([plan.normalized, *map(normalize, queries)]))[:3], rewritten=True)
+
+    def retry(self, plan: Plan, n_hits: int) -> Plan | None:
+        """Once, after no hits: without relaxed words, with synonyms both ways; exact terms stay."""
+        if plan.retried or n_hits:
+            return None
+        relaxed = normalize(RELAXED.sub(" ", plan.normalized)) or plan.normalized
+        both = dict(self.synonyms)
+        for word, others in self.synonyms.items():
+            for o in others:
+                both[o] = (*both.get(o, ()), word)
+        extra = [s for w, others in both.items() if w in plan.normalized for s in others]
+        return replace(plan, semantic_queries=tuple(dict.fromkeys([relaxed, " ".join([relaxed, *extra])])), retried=True)
+
+
+def normalize(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).replace("\xa0", " ").split())
+
+
+def exact_terms(text: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(m.group() for p in _EXACT for m in p.finditer(text)))
+
+
+def resolve_entities(text: str, catalog: tuple[str, ...]) -> list[str]:
+    """Longest names first, without overlaps, each at its first place; ASCII names need word boundaries."""
+    taken: list[tuple[int, int]] = []
+    found = []
+    for name in sorted(set(catalog), key=lambda n: (-len(n), n.casefold(), n)):
+        edge = r"(?<![A-Za-z0-9_]){}(?![A-Za-z0-9_])" if name.isascii() else "{}"
+        m = re.search(edge.format(re.escape(name)), text, re.I) if name else None
+        if m and not any(m.start() < b and a < m.end() for a, b in taken):
+            taken.append(m.span())
+            found.append((m.start(), name))
+    return [n for _, n in sorted(found)]
+
+
+def detect_intent(text: str, n_entities: int = 0) -> str:
+    return next((i for i, p in INTENTS if re.search(p, text, re.I)), "comparison" if n_entities >= 2 else "lookup")
+
+
+def intent_column(text: Column) -> Column:
+    """detect_intent for a column of queries without entities."""
+    out = F.when(text.rlike("(?i)" + INTENTS[0][1]), INTENTS[0][0])
+    for name, pattern in INTENTS[1:]:
+        out = out.when(text.rlike("(?i)" + pattern), name)
+    return out.otherwise("lookup")
+
+
+def preserved(text: str, queries: list[str], exact: tuple[str, ...]) -> bool:
+    """Whether some query keeps every exact term and all keep a negation."""
+    return any(all(t in q for t in exact) for q in queries) and (not NEGATION.search(text) or all(NEGATION.search(q) for q in queries))
