@@ -184,7 +184,7 @@ def chunk_page(page_id: str, title: str, text: str | None, tokens: Callable[[str
         head = prefix
         while head and tokens(head) >= DENSE_MOST:
             head = head[: len(head) // 2]
-        most = max(1, DENSE_MOST - tokens(head)) if head else DENSE_MOST
+        most = max(1, DENSE_MOST - tokens(head) - 1) if head else DENSE_MOST  # a joint may round up
         target = max(1, min(DENSE_TARGET - (tokens(head) if head else 0), most))
         parts = [p for a, b in pieces for p in (_fit_tokens(text, a, b, most, tokens) if tokens(text[a:b]) > most else [(a, b)])]
         cur: list[tuple[int, int]] = []

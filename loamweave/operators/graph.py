@@ -152,7 +152,7 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         if state == last:
             break
         last = state
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select("v")).distinct()
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return nodes.join(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

@@ -113,7 +113,7 @@ _PAGES = """
 _PAIRS = "pairs as (select distinct least(source_id, target_id) as u, greatest(source_id, target_id) as v from graph_edges where source_id <> target_id)"
 _WAYS = "ways as (select u as a, v as b from pairs union all select v, u from pairs)"
 _OVERLAP = """
-    src as (select page_id, list_sort(list_distinct(list_transform(list_filter(sources, s -> trim(s) <> ''), s -> regexp_replace(replace(lower(trim(s)), '\\', '/'), '^(\\./)+', '')))) as s from pages where sources is not null),
+    src as (select page_id, list_sort(list_distinct(list_transform(list_filter(sources, lambda s: trim(s) <> ''), lambda s: regexp_replace(replace(lower(trim(s)), '\\', '/'), '^(\\./)+', '')))) as s from pages where sources is not null),
     cls as (select s, min(page_id) as id, len(s) as n from src where len(s) > 0 group by s),
     flat as (select id, n, unnest(s) as source from cls),
     over as (select a.id as u, b.id as v, count(*) as shared, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jaccard from flat a join flat b using (source) where a.id < b.id group by 1, 2)"""
@@ -154,7 +154,7 @@ QUERIES = {
     "graph_expand_1hop": (_expand, f"with {_SEEDS} select query_id, page_id, seed_id, weight, place::int as place from cand where place <= 10"),
     "graph_validate": (_validated, f"""with {_SEEDS}, h as (select query_id, page_id, max((retrieval_method = 'bm25')::int) as sparse from rows where retrieval_method in ('bm25', 'vector') group by 1, 2)
         select query_id, page_id, seed_id, place::int as place from cand join h using (query_id, page_id)
-        where place <= 10 and (sparse = 1 or len(list_filter(signals, s -> s not in ('adamic_adar', 'type_affinity') and not contains(s, 'inferred'))) > 0 or coalesce(len(signals), 0) = 0)"""),
+        where place <= 10 and (sparse = 1 or len(list_filter(signals, lambda s: s not in ('adamic_adar', 'type_affinity') and not contains(s, 'inferred'))) > 0 or coalesce(len(signals), 0) = 0)"""),
     "connected_components": (_components, _COMPONENTS + " select node, component from comp"),
     "graph_communities": (_communities, None),
     "community_reports": (_reports, _COMPONENTS + """, m as (select component, count(*) as n_members, min(node) as first_member from comp group by 1),

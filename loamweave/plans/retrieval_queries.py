@@ -147,7 +147,7 @@ def _validation(spark, d):
 
 _BM25 = """
     with docs as (select chunk_id, max(fts_text) as t from sparse_chunks where fts_text is not null group by 1),
-    words as (select chunk_id, list_filter(string_split_regex(t, '\\s+'), x -> x <> '') as w from docs),
+    words as (select chunk_id, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') as w from docs),
     size as (select count(*) as n, avg(len(w)) as mean from words),
     asked as (select distinct query_id, unnest(string_split(query, ' ')) as term from {asked}),
     post as (select chunk_id, len(w) as length, unnest(w) as term from words),
@@ -168,7 +168,7 @@ _FAR = {
 }
 _TOP = "select query_id, vec_id, round(distance, 5) as distance, rank::int as rank from t where rank <= 10"
 _HITS = f"""
-    with docs as (select doc_id, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), x -> x <> '') as w from documents where text is not null),
+    with docs as (select doc_id, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '') as w from documents where text is not null),
     size as (select count(*) as n, avg(len(w)) as mean from docs),
     asked as (select distinct query_id, unnest(string_split(lower(query), ' ')) as term from {_ASKED_SQL} where query_id <= 3),
     tf as (select doc_id, length, term, count(*) as tf from (select doc_id, len(w) as length, unnest(w) as term from docs) where term in (select term from asked) group by all),
@@ -221,5 +221,5 @@ QUERIES = {
         select event_type, p as percent, round(value, 6) as value from r, (values (50), (95), (99)) as q(p) where i = round_even(p / 100 * (n - 1), 0)"""),
     "index_validation": (_validation, """
         select * from (select count(*) as n_sparse, count(distinct chunk_id) as d_sparse, count(*) filter (coalesce(trim(fts_text) = '', true)) as bare from sparse_chunks),
-        (select count(*) as n_dense, count(distinct chunk_id) as d_dense, count(*) filter (not coalesce(len(vector) = 64 and len(list_filter(vector, x -> x is null or not isfinite(x))) = 0, false)) as unusable from dense_chunks)"""),
+        (select count(*) as n_dense, count(distinct chunk_id) as d_dense, count(*) filter (not coalesce(len(vector) = 64 and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0, false)) as unusable from dense_chunks)"""),
 }

@@ -126,8 +126,8 @@ QUERIES = {
             union all select 'flag', unnest(regexp_extract_all(text, '--?[A-Za-z][\w\-]*')) from documents) group by all"""),
     "exact_term_df": (_exact_terms, None),
     "sentence_split": (_sentences, r"""
-        with s as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?；;]+[。！？!?；]?'), x -> trim(x, ' ')), x -> x <> '') as parts from documents)
-        select doc_id, len(parts)::int as n_sentences, coalesce(list_sum(list_transform(parts, x -> length(x))), 0)::int as n_chars from s"""),
+        with s as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?；;]+[。！？!?；]?'), lambda x: trim(x, ' ')), lambda x: x <> '') as parts from documents)
+        select doc_id, len(parts)::int as n_sentences, coalesce(list_sum(list_transform(parts, lambda x: length(x))), 0)::int as n_chars from s"""),
     "chunk_content_ids": (_chunk_ids, r"""
         with r as (select distinct chunk_id, page_id, chunk_kind, chunk_index, trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g'), ' ') as body from sparse_chunks),
         o as (select *, row_number() over (partition by page_id, chunk_kind, body order by chunk_index, chunk_id) - 1 as occurrence from r)
