@@ -46,15 +46,31 @@ def _stripped(text: Column) -> Column:
     return F.rtrim(text, F.lit(" \n\r\t\u3000"))
 
 
-def own_texts(docs: DataFrame) -> DataFrame:
-    """(id, source, own, marked, peak) of (id, source, text) with a non-blank text.
+def _without_footer(text: Column) -> Column:
+    return _stripped(F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, "\n", -1))))
 
-    own: the text without a footer its source's exporter adds and without a mark of
-    omission. peak: how much more often than by chance texts of the source come this
-    close in length, in characters or bytes, as a power of two from -1 to 6.
+
+def _without_mark(text: Column) -> Column:
+    return _stripped(F.substr(text, F.lit(1), F.length(text) - F.length(F.regexp_extract(F.right(text, F.lit(40)), _MARK, 0))))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select("id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"), _stripped(F.col("text")).alias("text")).where("text != ''")
+
+
+def endings(docs: DataFrame) -> DataFrame:
+    """(id, footed, peak) of (id, source, text) with a non-blank text; only lengths and shapes are shuffled.
+
+    footed: the last line is one the source's exporter adds. peak: how much more often
+    than by chance texts of the source come this close in length, in characters or
+    bytes, footers and marks of omission not counted, as a power of two from -1 to 6.
     """
-    rows = docs.where(F.trim("text") != "").select("id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"), _stripped(F.col("text")).alias("text")).where("text != ''")
-    rows = stage(rows.withColumn("shape", shape_of(F.substring_index("text", "\n", -1))))
+    text, above = F.col("text"), F.col("above")
+    sizes = lambda c, n: [F.length(c).cast("int").alias(f"chars_{n}"), F.octet_length(c).cast("int").alias(f"bytes_{n}")]
+    rows = stage(
+        _named(docs).withColumn("above", _without_footer(text))
+        .select("id", "source", shape_of(F.substring_index("text", "\n", -1)).alias("shape"), *sizes(_without_mark(text), "all"), *sizes(_without_mark(above), "above"))
+    )
     whole = rows.groupBy("source").agg(F.count("*").alias("n_source"))
     shapes = rows.where("shape is not null").groupBy("source", "shape").agg(F.count("*").alias("n_shape"))
     everywhere = shapes.groupBy("shape").agg(F.sum("n_shape").alias("n_everywhere"))
@@ -63,14 +79,9 @@ def own_texts(docs: DataFrame) -> DataFrame:
         .where((F.col("n_shape") >= FOOTER_LEAST) & (F.col("n_shape") >= FOOTER_SHARE * F.col("n_source")) & (F.col("n_everywhere") <= 2 * F.col("n_shape")) & ~F.col("shape").rlike(r"^[-*+•|`]\s|[.!?。！？]$"))
         .select("source", "shape", F.lit(True).alias("footer"))
     )
-    above = F.substr("text", F.lit(1), F.length("text") - F.length(F.substring_index("text", "\n", -1)))
-    bare = F.when(F.col("footer"), _stripped(above)).otherwise(F.col("text"))
-    mark = F.length(F.regexp_extract(F.right("bare", F.lit(40)), _MARK, 0))
-    own = rows.join(footers, ["source", "shape"], "left").withColumn("bare", bare).withColumn("own", _stripped(F.substr("bare", F.lit(1), F.length("bare") - mark)))
-    own = own.where("own != ''").select(
-        "id", "source", "own", (F.length("own") < F.length("bare")).alias("marked"), F.col("footer").isNotNull().alias("footed"), F.length("own").alias("chars"), F.octet_length("own").alias("bytes"),
-    )
-    own = stage(own)
+    size = lambda n: F.when(F.col("footer"), F.col(f"{n}_above")).otherwise(F.col(f"{n}_all")).alias(n)
+    own = stage(rows.join(footers, ["source", "shape"], "left").select("id", "source", F.col("footer").isNotNull().alias("footed"), size("chars"), size("bytes")).where("chars > 0"))
+    got = own
     for unit, reach in (("chars", 5), ("bytes", 3)):
         near = Window.partitionBy("source").orderBy(unit).rangeBetween(-reach, reach)
         counts = (
@@ -80,9 +91,16 @@ def own_texts(docs: DataFrame) -> DataFrame:
                 F.col("n_same") / (1 + 2 * F.col("n_own") / F.col("mean")), F.col("n_near") / (1 + 2 * (2 * reach + 1) * F.col("n_own") / F.col("mean")),
             ).alias(f"over_{unit}"))
         )
-        own = own.join(counts, ["source", unit])
+        got = got.join(counts, ["source", unit])
     peak = F.floor(F.log2(F.greatest("over_chars", "over_bytes", F.lit(0.5))))
-    return own.select("id", "source", "own", "marked", "footed", F.least(peak, F.lit(6)).cast("int").alias("peak"))
+    return got.select("id", "footed", F.least(peak, F.lit(6)).cast("int").alias("peak"))
+
+
+def own_texts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, source, own, marked, peak): each text without footer and mark, in one shuffle of the texts."""
+    rows = _named(docs).join(ends, "id").withColumn("bare", F.when(F.col("footed"), _without_footer(F.col("text"))).otherwise(F.col("text")))
+    own = rows.withColumn("own", _without_mark(F.col("bare")))
+    return own.select("id", "source", "own", (F.length("own") < F.length("bare")).alias("marked"), "peak")
 
 
 def features(text: str, marked: bool, peak: int) -> list[int]:
@@ -194,8 +212,11 @@ def truncated(docs: DataFrame) -> DataFrame:
 
     Null and blank texts give no row; a null source counts as the source ''.
     """
-    own = stage(own_texts(docs))
-    drawn = own.orderBy(F.xxhash64(F.col("id"), F.lit(17)), "id").limit(SAMPLE).select("own", "marked", "peak").collect()
+    ends = stage(endings(docs))
+    own = own_texts(docs, ends)
+    cell = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 20))
+    some = docs.where(cell < int((1 << 20) * min(1.0, 1.2 * SAMPLE / max(1, ends.count()))) + 1)
+    drawn = own_texts(some, ends).orderBy(F.xxhash64(F.col("id"), F.lit(17)), "id").limit(SAMPLE).select("own", "marked", "peak").collect()
     model = docs.sparkSession.sparkContext.broadcast(train([tuple(r) for r in drawn]).weights)
 
     def run(batches):
