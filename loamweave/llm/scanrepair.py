@@ -337,7 +337,9 @@ def scan_noise(texts: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame
     spark: SparkSession = texts.sparkSession
     scanned = stage(texts.where("text is not null").distinct().mapInPandas(lambda batches: (b[[is_scan(t) for t in b["text"]]] for b in batches), texts.schema))
     words = stage(clean_words(clean))
-    drawn = scanned.orderBy(F.xxhash64("rec_key"), "src_table", "rec_key").limit(TEXT_SAMPLE).select("text").collect()
+    part = min(1.0, 1.5 * TEXT_SAMPLE / max(1, scanned.count()))
+    some = scanned.where(F.pmod(F.xxhash64("rec_key"), F.lit(1 << 20)) < int((1 << 20) * part) + 1)
+    drawn = some.orderBy(F.xxhash64("rec_key"), "src_table", "rec_key").limit(TEXT_SAMPLE).select("text").collect()
     vocabulary = [tuple(r) for r in words.where("n_clean >= 2").orderBy(F.xxhash64("word"), "word").limit(WORD_SAMPLE).collect()]
     weights = spark.sparkContext.broadcast(train_furniture([r[0] for r in drawn]).weights)
     joiner = spark.sparkContext.broadcast(train_joins(vocabulary))
