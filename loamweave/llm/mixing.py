@@ -24,7 +24,13 @@ BLOCK_TOKENS = 4096
 
 
 def pfair_period(weights: dict[str, float], slots: int = SLOTS) -> dict[str, list[int]]:
-    """Slots of one period for each source; weights are rounded to 1/slots by largest remainder and fill the period."""
+    """Slots of one period for each source; weights are rounded to 1/slots by largest remainder and fill the period.
+
+    A positive weight has one slot at least; with many sources the period is ten slots a
+    source. No positive weight, no slots.
+    """
+    weights = {s: max(0.0, w) for s, w in weights.items()}
+    slots = max(slots, 10 * len(weights))
     total = sum(weights.values())
     if total <= 0:
         return {s: [] for s in weights}
@@ -32,6 +38,10 @@ def pfair_period(weights: dict[str, float], slots: int = SLOTS) -> dict[str, lis
     n = {s: int(x) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: (n[s] - exact[s], s))[: slots - sum(n.values())]:
         n[s] += 1
+    for s in exact:
+        if exact[s] > 0 and not n[s]:
+            n[s] = 1
+            n[max(n, key=lambda o: (n[o], o))] -= 1
     out: dict[str, list[int]] = {s: [] for s in weights}
     waiting = [(0, s, 0) for s in sorted(n) if n[s]]
     heapq.heapify(waiting)
@@ -78,13 +88,14 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
     slots: list[tuple[str, str, int, int, int]] = []
     for name in {r["mix"] for r in plan}:
         period = pfair_period({r["source"]: float(r["target_share"]) for r in plan if r["mix"] == name})
-        slots += [(name, s, len(at), k, slot) for s, at in period.items() for k, slot in enumerate(at)]
+        length = sum(map(len, period.values()))
+        slots += [(name, s, len(at), length, slot) for s, at in period.items() for slot in at]
     spark = documents.sparkSession
     planned = spark.createDataFrame(
         [(r["mix"], r["source"], r["target_share"], r["max_repeats"], r["tokens"], r["wanted_tokens"], r["allowed_tokens"]) for r in plan],
         "mix string, source string, target_share double, max_repeats bigint, tokens bigint, wanted_tokens double, allowed_tokens bigint",
     )
-    places = spark.createDataFrame(slots, "mix string, source string, per_period bigint, k bigint, place bigint")
+    places = spark.createDataFrame(slots, "mix string, source string, per_period bigint, period bigint, place bigint")
     rows = max(1, sizes.count())
     placed = running_total(sizes, ["source"], ["id"], F.col("size"), "before", bucket_count(rows))
     copies = (
@@ -94,10 +105,10 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
         .where("copy_no < max_repeats and position < wanted_tokens")
         .withColumn("block_no", F.floor(F.col("position") / block_tokens))
     )
-    periods = F.broadcast(places.groupBy("mix", "source").agg(F.first("per_period").alias("per_period"), F.sort_array(F.collect_list("place")).alias("at")))  # SLOTS numbers a mix
+    periods = F.broadcast(places.groupBy("mix", "source").agg(F.first("per_period").alias("per_period"), F.first("period").alias("period"), F.sort_array(F.collect_list("place")).alias("at")))  # a period of slots a mix
     return copies.join(periods, ["mix", "source"]).select(
         "mix", "source", "id", "copy_no", "size", "block_no",
-        (F.floor(F.col("block_no") / F.col("per_period")) * SLOTS + F.element_at("at", (F.col("block_no") % F.col("per_period") + 1).cast("int"))).alias("slot"),
+        (F.floor(F.col("block_no") / F.col("per_period")) * F.col("period") + F.element_at("at", (F.col("block_no") % F.col("per_period") + 1).cast("int"))).alias("slot"),
         "target_share", "max_repeats", "wanted_tokens", "allowed_tokens",
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamweave.operators.stage import newest
+from loamweave.operators.stage import newest, stage
 from loamweave.sources.tables import table
 
 METHODS = ("bm25", "fused", "vector", "graph")
@@ -75,7 +75,7 @@ def fuse(retrieved: DataFrame, edges: DataFrame, weights: dict[str, float] | Non
     a method no page of the query is counted in does not take part.
     """
     weights = {m: 1.0 for m in METHODS} | (weights or {})
-    scored = bounded_scores(counted_values(retrieved, edges))
+    scored = bounded_scores(stage(counted_values(retrieved, edges)))
     of = lambda m, c: F.max(F.when(F.col("retrieval_method") == m, F.col(c)))
     pages = scored.groupBy("query_id", "page_id").agg(*(of(m, "value").alias(f"v_{m}") for m in METHODS), *(of(m, "bounded").alias(f"b_{m}") for m in METHODS))
     used = pages.groupBy("query_id").agg(F.count("*").alias("n_pages"), *(F.count(f"v_{m}").alias(f"n_{m}") for m in METHODS))
@@ -109,10 +109,11 @@ def leaders(fused: DataFrame) -> DataFrame:
     one page a query; it stays if it holds against all pages of the query. Queries with
     no such page give no row.
     """
+    fused = stage(fused)
     page = F.struct(F.col("fused"), F.col("page_id"), *(F.col(m) for m in VALUES)).alias("page")
     part = F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n_pages") / FOLD)).alias("part")
     first = _champions(fused.select("query_id", part, page), ["query_id", "part"])
-    best = _champions(first.select("query_id", "page"), ["query_id"]).withColumnRenamed("page", "best")
+    best = stage(_champions(first.select("query_id", "page"), ["query_id"]).withColumnRenamed("page", "best"))
     held = (
         fused.select("query_id", page).join(best, "query_id")
         .where(F.col("page.page_id") != F.col("best.page_id"))
