@@ -177,9 +177,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         for i, part in enumerate(data.split("\n")):
-            if i:
-                if self.heading and not self.lines[-1][0].strip():
-                    continue
+            if i and not (self.heading and not self.lines[-1][0].strip()):
                 self._new()
             if self.heading and part.strip() and not self.lines[-1][0].startswith(OPEN + "h"):
                 self.lines[-1][0] = f"{OPEN}h{self.heading}{CLOSE}"

@@ -83,7 +83,7 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
     are reached (by at most one document more) or its repeats are used up.
     """
     named = targets.select(source_name(F.col("source")).alias("source")).where("source is not null").distinct()
-    sizes = stage(documents.where("size is not null").withColumn("source", source_name(F.col("source"))).join(named, "source", "left_semi"))
+    sizes = stage(documents.where("size is not null").select("id", source_name(F.col("source")).alias("source"), "size").join(named, "source", "left_semi"))
     plan = [r.asDict() for r in mix_plan(sizes, targets).collect()]  # a row for each target
     slots: list[tuple[str, str, int, int, int]] = []
     for name in {r["mix"] for r in plan}:

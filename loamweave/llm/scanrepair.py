@@ -335,6 +335,7 @@ def scan_noise(texts: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame
     empty texts give none. clean: (text) of documents that are not scans.
     """
     spark: SparkSession = texts.sparkSession
+    texts = texts.select("src_table", "rec_key", "text")
     scanned = stage(texts.where("text is not null").distinct().mapInPandas(lambda batches: (b[[is_scan(t) for t in b["text"]]] for b in batches), texts.schema))
     words = stage(clean_words(clean))
     part = min(1.0, 1.5 * TEXT_SAMPLE / max(1, scanned.count()))
