@@ -66,7 +66,7 @@ def collapsed(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts that end with one of 。！？!?； ; an ASCII semicolon parts without being kept, line feeds and full stops do not part."""
-    return F.filter(F.transform(found(text, r"[^。！？!?；;]+[。！？!?；]?"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(found(text, r"[^。！？!?；;]+[。！？!?；]?"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def slug(text: Column) -> Column:

@@ -82,7 +82,8 @@ def check_references(references: DataFrame, parents: DataFrame) -> DataFrame:
         .when(F.col("gone") == 1, "deleted")
         .when(F.col("since") > F.col("at"), "late")
     )
-    return references.join(state, "key", "left").withColumn("fault", fault).where("fault is not null").drop("orphan", "gone", "since", "key")
+    columns = ["src_table", "rec_key", "ref_kind", "ref_value", "key", "at", "month"]
+    return references.select(*columns).join(state, "key", "left").withColumn("fault", fault).where("fault is not null").drop("orphan", "gone", "since", "key")
 
 
 def _folded(value: Column) -> Column:
