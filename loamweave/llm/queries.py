@@ -23,7 +23,25 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_LEAD = " + ".join(f"(case when a.{m} > o.{m} then 1 when a.{m} < o.{m} then -1 else 0 end)" for m in ("bm25", "fused", "vector", "graph"))
+_BEST = ", ".join(f"coalesce(max(val) filter (m = '{m}'), '-infinity'::double) as {m}" for m in ("bm25", "fused", "vector", "graph"))
 _SQL = {
+    "p2_found": """
+        with v as (select chunk_id, any_value(vector)::double[] as x from dense_chunks where len(vector) = 64 group by 1),
+        u as (select * from v where len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
+        p as (select a.chunk_id as a, b.chunk_id as b, list_cosine_similarity(a.x, b.x) as c from u a, u b where a.chunk_id <> b.chunk_id),
+        t as (select *, row_number() over (partition by a order by c desc, b) as place from p)
+        select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from t where place <= 5 and c >= 0.9""",
+    "p3_found": f"""
+        with r as (select query_id, page_id, retrieval_method as m, max(struct_pack(t := retrieved_at, s := score, d := distance, e := seed_page_id)) as x from retrieved_pages where query_id is not null and page_id is not null group by 1, 2, 3),
+        n as (select query_id, count(x.d) as nd from r where m = 'vector' group by 1),
+        e as (select least(source_id, target_id) as a, greatest(source_id, target_id) as b, max(weight) as w from graph_edges where weight is not null group by 1, 2),
+        v as (select query_id, page_id, m, x.s as val from r where m in ('bm25', 'fused')
+              union all select query_id, page_id, m, case when nd > 0 then -x.d else x.s end from r join n using (query_id) where m = 'vector'
+              union all select query_id, page_id, m, w from r join e on a = least(x.e, page_id) and b = greatest(x.e, page_id) where m = 'graph'),
+        p as (select query_id, page_id, {_BEST} from v where val is not null group by 1, 2),
+        j as (select a.query_id, a.page_id from p a join p o on a.query_id = o.query_id and a.page_id <> o.page_id where {_LEAD} <= 0)
+        select query_id, page_id from p anti join j using (query_id, page_id)""",
     "p5_found": """
         with big as (select distinct chunk_id, text from sparse_chunks where length(text) >= 1004),
         parts as (select chunk_id, text, unnest(regexp_split_to_array(regexp_replace(text, '([。！？!?；|\\n]|[.;](\\s))', '\\1' || chr(1), 'g'), chr(1))) as part from big)
