@@ -61,7 +61,8 @@ def _named(docs: DataFrame) -> DataFrame:
 def endings(docs: DataFrame) -> DataFrame:
     """(id, footed, peak) of (id, source, text) with a non-blank text; only lengths and shapes are shuffled.
 
-    footed: the last line is one the source's exporter adds. peak: how much more often
+    footed: the last line is one the source's exporter adds, or any exporter's where the
+    source is null. peak: how much more often
     than by chance texts of the source come this close in length, in characters or
     bytes, footers and marks of omission not counted, as a power of two from -1 to 6.
     """
@@ -79,6 +80,7 @@ def endings(docs: DataFrame) -> DataFrame:
         .where((F.col("n_shape") >= FOOTER_LEAST) & (F.col("n_shape") >= FOOTER_SHARE * F.col("n_source")) & (F.col("n_everywhere") <= 2 * F.col("n_shape")) & ~F.col("shape").rlike(r"^[-*+•|`]\s|[.!?。！？]$"))
         .select("source", "shape", F.lit(True).alias("footer"))
     )
+    footers = footers.unionByName(footers.withColumn("source", F.lit(""))).distinct()  # also where the source is not known
     size = lambda n: F.when(F.col("footer"), F.col(f"{n}_above")).otherwise(F.col(f"{n}_all")).alias(n)
     own = stage(rows.join(footers, ["source", "shape"], "left").select("id", "source", F.col("footer").isNotNull().alias("footed"), size("chars"), size("bytes")).where("chars > 0"))
     got = own
@@ -110,7 +112,7 @@ def features(text: str, marked: bool, peak: int) -> list[int]:
     item = _ITEM.match(line)
     fences = len(re.findall(r"^\s*(?:```|~~~)", text, re.M)) % 2
     kind = (
-        "code" if fences else "table" if line.startswith(("|", "!")) or "<td" in line else "item" if item else "blank" if before.endswith("\n\n") or not before else "more"
+        "code" if fences or line.startswith(("    ", "\t")) else "table" if line.startswith(("|", "!")) or "<td" in line else "item" if item else "blank" if before.endswith("\n\n") or not before else "more"
     )
     tokens = _TOKEN.findall(line[-120:])
     norm = ["9" if t.isdigit() else t.lower() for t in tokens]
@@ -142,6 +144,8 @@ def _cuts(text: str, rng: random.Random, n: int) -> list[str]:
         rest = text[at : stop.start() if stop else len(text)].strip(" \t*_|`")
         piece = _ITEM.sub("", text[start:at]).strip()
         line = text[text.rfind("\n", 0, at) + 1 : at]
+        if _END.search(head) and not text[len(head) : len(head) + 1].isalnum():
+            continue
         if not rest or len(piece) < 2 or sum(f < at for f in fenced) % 2 or line.startswith(("#", "=", "    ", "|-", "\\", "</")) or re.match(r"^<h\d", line):
             continue
         out.append(head)
