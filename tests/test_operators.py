@@ -81,6 +81,53 @@ def test_greedy_cap_equals_the_sequential_rule(spark):
     assert rows(got.select("u", "v")) == sorted(want)
 
 
+def four_signals(links, sets, types):
+    """The graph by going through all pairs of pages: {(u, v): (weight, signals)} of links (source, target, n), sets and types by page."""
+    edges = {}
+
+    def add(a, b, weight, signal):
+        old = edges.get((min(a, b), max(a, b)), (0.0, ()))
+        edges[min(a, b), max(a, b)] = old[0] + weight, tuple(sorted({*old[1], signal}))
+
+    for a, b, n in links:
+        add(a, b, n, "direct_link")
+    pages = sorted(types)
+    for i, a in enumerate(pages):
+        for b in pages[i + 1 :]:
+            x, y = set(sets.get(a) or ()), set(sets.get(b) or ())
+            if x & y:
+                add(a, b, 0.6 * len(x & y) / len(x | y), "source_overlap")
+    near = {p: {q for e in edges if p in e for q in e if q != p} for p in pages}
+    scores = {(a, b): sum(1 / np.log(len(near[m])) for m in near[a] & near[b]) for i, a in enumerate(pages) for b in pages[i + 1 :] if b not in near[a] and near[a] & near[b]}
+    have = dict.fromkeys(pages, 0)
+    for (a, b), score in sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0])):
+        if have[a] < 5 or have[b] < 5:
+            add(a, b, 0.4 * score, "adamic_adar")
+            have[a], have[b] = have[a] + 1, have[b] + 1
+    for a, b in list(edges):
+        if types[a] == types[b]:
+            add(a, b, 0.3, "type_affinity")
+    return edges
+
+
+def same_graph(got, want):
+    assert {(r.u, r.v): tuple(r.signals) for r in got} == {k: s for k, (_, s) in want.items()}
+    assert all(abs(r.weight - want[r.u, r.v][0]) < 1e-4 for r in got) and len(got) == len(want)
+
+
+def test_graph_has_all_four_signals(spark):
+    rng = np.random.default_rng(5)
+    pages = [f"p{i:02d}" for i in range(40)]
+    links = [(pages[a], pages[b], int(n)) for a, b, n in {(int(a), int(b)): (int(a), int(b), n) for a, b, n in zip(rng.integers(0, 8, 60), rng.integers(0, 40, 60), rng.integers(1, 3, 60)) if a != b}.values()]
+    sets, types = {p: {f"s{i}"} for i, p in enumerate(pages)}, {p: "ab"[i % 2] for i, p in enumerate(pages)}
+    sets["p38"] = {"s39", "s38"}
+    want = four_signals(links, sets, types)
+    assert any(s == ("adamic_adar",) for _, s in want.values()) and any(s == ("adamic_adar", "type_affinity") for _, s in want.values())
+    over = spark.createDataFrame([("p38", "p39", 0.5)], "u string, v string, jaccard double")
+    got = graph.build(spark.createDataFrame(links, "source_id string, target_id string, n long"), over, spark.createDataFrame(list(types.items()), "page_id string, page_type string"))
+    same_graph(got.collect(), want)
+
+
 def test_communities_beat_single_nodes(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(5) for j in range(i + 1, 5)]
     w = spark.createDataFrame([*clique("a"), *clique("b"), ("a0", "b0", 0.1)], "u string, v string, weight double")
