@@ -41,6 +41,14 @@ def overlap(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select("u", "v", "shared", (F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))).alias("jaccard")), members
 
 
+def page_overlap(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(u, v, jaccard) of all pages with a common source, from both results of ``overlap``: the pairs of two classes for each two of their members, and 1 inside a class."""
+    of = lambda key, out: members.select(F.col("class_id").alias(key), F.col("page_id").alias(out))
+    between = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select(*edge_ends(F.col("a"), F.col("b")), "jaccard")
+    inside = of("class_id", "u").join(of("class_id", "v"), "class_id").where("u < v").select("u", "v", F.lit(1.0).alias("jaccard"))
+    return between.unionByName(inside)
+
+
 def undirected(edges: DataFrame, a: str = "source_id", b: str = "target_id") -> DataFrame:
     """Distinct pairs (u < v); loops and null ends are left out."""
     return edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(*edge_ends(F.col(a), F.col(b))).distinct()

@@ -45,8 +45,8 @@ def _classes(spark, d):
 
 
 def _build(spark, d):
-    pairs, _ = graph.overlap(_sources(spark, d))
-    return graph.build(_links(spark, d), pairs, _pages(spark, d).select("page_id", "page_type")).select("u", "v", "weight", F.array_join("signals", ",").alias("signals"))
+    shared = graph.page_overlap(*graph.overlap(_sources(spark, d)))
+    return graph.build(_links(spark, d), shared, _pages(spark, d).select("page_id", "page_type")).select("u", "v", "weight", F.array_join("signals", ",").alias("signals"))
 
 
 def _adamic(spark, d):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loamweave.functions import keys, text, vectors
 from loamweave.operators import chunking, context, dense, fulltext, fusion, graph, ingest, metrics
 from loamweave.operators.stage import newest, running_total
+from loamweave.plans import graph_queries
 
 
 def rows(df):
@@ -128,6 +129,24 @@ def test_graph_has_all_four_signals(spark):
     same_graph(got.collect(), want)
 
 
+def test_graph_links_all_pages_with_a_common_source(spark):
+    sets = {"a": ["x"], "b": ["x"], "c": ["y", "x"], "d": ["x", "y"], "e": ["z"], "f": None, "g": [], "h": ["y"], "i": ["z", None, "z"]}
+    types = dict.fromkeys(sets, "t") | {"b": "other", "e": None}
+    over = graph.page_overlap(*graph.overlap(spark.createDataFrame(list(sets.items()), "page_id string, sources array<string>")))
+    assert rows(over) == [("a", "b", 1.0), ("a", "c", 0.5), ("a", "d", 0.5), ("b", "c", 0.5), ("b", "d", 0.5), ("c", "d", 1.0), ("c", "h", 0.5), ("d", "h", 0.5), ("e", "i", 1.0)]
+    links = [("a", "f", 1), ("g", "a", 2)]
+    got = graph.build(spark.createDataFrame(links, "source_id string, target_id string, n long"), over, spark.createDataFrame(list(types.items()), "page_id string, page_type string"))
+    same_graph(got.collect(), four_signals(links, sets | {"i": ["z"]}, types))
+
+
+def test_graph_query_links_pages_of_equal_sources(spark, tmp_path):
+    rows_ = [(p, f"concepts/{p}.md", p.upper(), "concept", ["raw/shared.docx"], [], None, None) for p in "abc"]
+    schema = "page_id string, path string, title string, page_type string, sources array<string>, links array<string>, updated_at timestamp, deleted_at timestamp"
+    spark.createDataFrame(rows_, schema).write.parquet(f"{tmp_path}/wiki_pages.parquet")
+    got = graph_queries.QUERIES["graph_build"][0](spark, str(tmp_path))
+    assert rows(got.select("u", "v", "weight", "signals")) == [(u, v, 0.9, "source_overlap,type_affinity") for u, v in ("ab", "ac", "bc")]
+
+
 def test_communities_beat_single_nodes(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(5) for j in range(i + 1, 5)]
     w = spark.createDataFrame([*clique("a"), *clique("b"), ("a0", "b0", 0.1)], "u string, v string, weight double")
