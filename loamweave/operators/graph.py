@@ -75,31 +75,13 @@ def adamic_adar(pairs: DataFrame) -> DataFrame:
 def greedy_cap(scored: DataFrame, per_node: int = PER_NODE) -> DataFrame:
     """Pairs kept by going through them by falling score and dropping a pair only if both its ends are full.
 
-    Exact and without a global order: a pair is decided once all stronger pairs at its
-    ends are; each round decides every pair that is among the undecided ones the first
-    at both ends, or that one end with room left makes certain. The strongest undecided
-    pair is decided in any round, so the rounds end with no pair left.
+    Exact and without a global order: the first ``per_node`` pairs of a node find room at
+    it and are kept, so it is full for all later ones. A pair is kept if it is among the
+    first of one end at least.
     """
-    todo = stage(scored.select("u", "v", F.round("score", 9).alias("score")))
-    kept = None
-    while True:
-        ends = both_ways(todo.select("u", "v")).join(
-            todo.select(F.col("u").alias("a"), F.col("v").alias("b"), "score").unionByName(todo.select(F.col("v").alias("a"), F.col("u").alias("b"), "score")), ["a", "b"]
-        )
-        order = Window.partitionBy("a").orderBy(F.desc("score"), F.least("a", "b"), F.greatest("a", "b"))
-        place = ends.withColumn("place", F.row_number().over(order))
-        have = degrees(kept) if kept is not None else None
-        place = place.join(have.select(F.col("node").alias("a"), "degree"), "a", "left").fillna(0, ["degree"]) if have is not None else place.withColumn("degree", F.lit(0))
-        state = place.groupBy(*edge_ends(F.col("a"), F.col("b"))).agg(
-            F.max((F.col("degree") + F.col("place") <= per_node).cast("int")).alias("sure"), F.max("place").alias("worst"), F.min("degree").alias("fewest")
-        )
-        state = stage(state.select("u", "v", F.when((F.col("sure") == 1) | ((F.col("worst") == 1) & (F.col("fewest") < per_node)), "keep").when((F.col("fewest") >= per_node), "drop").alias("verdict")))
-        new = state.where("verdict = 'keep'").select("u", "v")
-        kept = stage(new if kept is None else kept.unionByName(new))
-        todo = stage(todo.join(state.where("verdict is not null"), ["u", "v"], "left_anti"))
-        if todo.isEmpty():
-            break
-    return kept.join(scored, ["u", "v"])
+    order = Window.partitionBy("_end").orderBy(F.round("score", 9).desc(), "u", "v")
+    first = scored.withColumn("_end", F.explode(F.array("u", "v"))).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_node)
+    return first.drop("_end", "_place").dropDuplicates(["u", "v"])
 
 
 def build(links: DataFrame, pairs: DataFrame, types: DataFrame) -> DataFrame:
@@ -111,7 +93,7 @@ def build(links: DataFrame, pairs: DataFrame, types: DataFrame) -> DataFrame:
     direct = links.select(*edge_ends(F.col("source_id"), F.col("target_id")), (LINK * F.col("n")).alias("weight"), F.lit("direct_link").alias("signal"))
     shared = pairs.select("u", "v", (OVERLAP * F.col("jaccard")).alias("weight"), F.lit("source_overlap").alias("signal"))
     stated = stage(direct.unionByName(shared).groupBy("u", "v").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("signal")).alias("signals")))
-    near = greedy_cap(stage(adamic_adar(stated.select("u", "v"))))
+    near = greedy_cap(adamic_adar(stated.select("u", "v")))
     base = stated.unionByName(near.select("u", "v", (ADAMIC_ADAR * F.col("score")).alias("weight"), F.array(F.lit("adamic_adar")).alias("signals")))
     kind = lambda n: types.groupBy(F.col("page_id").alias(n)).agg(F.max("page_type").alias(f"type_{n}"))
     typed = base.join(kind("u"), "u", "left").join(kind("v"), "v", "left")
