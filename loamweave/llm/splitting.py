@@ -69,18 +69,23 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     """Pieces (start, fresh, end, forced): text[start:end] is the piece, what is before ``fresh`` repeats the piece before.
 
     The ranges fresh:end follow one another and cover the text. A text within the limit
-    is one piece; an empty text is one empty piece.
+    is one piece; an empty text is one empty piece. The overlap is up to ``overlap``
+    tokens; it starts after a blank if its first half has one, else at a character. Only
+    before a stretch without inner boundary that fits the limit but not beside the whole
+    overlap is it cut to the characters left.
     """
     if tokens(len(text)) <= limit:
         return [(0, 0, len(text), False)]
     width = 4 * limit + 3
     room = min(4 * overlap, width // 2)
+    fit = max(1, (width - room - 3) // 4)
     atoms: list[tuple[int, int, bool]] = []
-    for a, b, natural in _stretches(text, 0, len(text), limit):
-        if natural and b - a <= width:
-            atoms.append((a, b, False))
-        else:
-            atoms += [(x, y, not natural) for x, y in _forced(text, a, b, width - room)]
+    for a, b, natural in _stretches(text, 0, len(text), fit):
+        for x, y, whole in [(a, b, True)] if natural else _stretches(text, a, b, limit, len(LEVELS)):
+            if whole and (y - x <= width - room or text[x:y].strip() and y - x <= width):
+                atoms.append((x, y, False))
+            else:
+                atoms += [(p, q, not whole) for p, q in _forced(text, x, y, width - room)]
     pieces: list[tuple[int, int, int, bool]] = []
     start = fresh = end = 0
     forced = False
@@ -88,9 +93,9 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         if end > fresh and b - start > width:
             pieces.append((start, fresh, end, forced))
             start = fresh = end
-            back = max(pieces[-1][1], end - room)
-            gap = next((m.end() for m in re.compile(r"\s").finditer(text, back, end)), end)
-            start, forced = (gap if b - gap <= width else end), False
+            back = max(pieces[-1][0], end - room)
+            gap = next((m.end() for m in re.compile(r"\s").finditer(text, back, back + (end - back) // 2)), back)
+            start, forced = max(gap, b - width), False
         end, forced = b, forced or cut
     pieces.append((start, fresh, end, forced))
     return pieces

@@ -193,6 +193,16 @@ def test_pieces_cover_the_text_within_the_limit(seed):
     assert any(p[3] for p in pieces) == (len(text) >= 4 * limit + 4 and any(len(x.strip()) >= 4 * (limit + 1) for x in atoms))
 
 
+@pytest.mark.parametrize("text", ["x" * 5000, "见传感器" * 900, "word. " * 900, ("y" * 300 + ". ") * 20, "z" * 1500 + " " + "w " * 900, ("v" * 950 + "\n") * 5, "a b\n" + "u" * 940 + "\n" + "t" * 400])
+def test_every_later_piece_has_the_overlap(text):
+    pieces = splitting.split_text(text)
+    assert len(pieces) > 1 and all(splitting.tokens(e - a) <= 250 for a, _, e, _ in pieces)
+    for (start, _, before, _), (a, f, e, _) in zip(pieces, pieces[1:]):
+        tight = any(len(x) > 923 for x in text[f:e].split("\n")) and len(set(text[f:e].strip())) == 1 and e - f > 923
+        assert f == before and a >= start and f - a <= 80
+        assert f - a >= (min(40, 1003 - (e - f)) if tight else min(40, before - start))
+
+
 def test_split_in_spark(spark):
     df = spark.createDataFrame([("a", "[]", "x" * 1100, 1), ("a", "[]", "x" * 1100, 2), ("b", None, "word. " * 300, 0), ("c", "[]", None, 0), ("d", "[]", "", 0)], "chunk_id string, section_path string, text string, piece_no int")
     got = splitting.split_chunks(df)
