@@ -69,14 +69,17 @@ def _multi(spark, d):
 
 
 def _hits(spark, d):
-    """Sparse and dense hits of the documents: one query a source, its terms those of its least document's title."""
-    docs = table(spark, d, "documents", "doc_id", "text")
-    words = F.array_join(F.filter(F.split(F.lower(F.regexp_replace("text", r"[^A-Za-z]+", " ")), " "), lambda w: w != ""), " ")
-    asked = spark.createDataFrame([(i, q.lower()) for i, q in ASKED[:3]], "query_id long, query string")
-    sparse = fulltext.search(docs.select("doc_id", words.alias("words")), asked, 80, "doc_id", "words")
+    """Sparse and dense hits of the documents and vectors, asked with each one whose id is divisible by 20.
+
+    The terms of a document's query are those of its title, or of its text where the title has none.
+    """
+    docs = table(spark, d, "documents", "doc_id", "text", "title")
+    words = lambda c: F.array_join(F.filter(F.split(F.lower(F.regexp_replace(c, r"[^A-Za-z]+", " ")), " "), lambda w: w != ""), " ")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce(F.nullif(words("title"), F.lit("")), words("text")).alias("query"))
+    sparse = fulltext.search(docs.select("doc_id", words("text").alias("words")), asked, 80, "doc_id", "words")
     vec = table(spark, d, "embeddings")
     data = vec.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = dense.topk(data, data.where("id in (1, 2, 3)").withColumnRenamed("id", "query_id"), 80)
+    near = dense.topk(data, data.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 80)
     one = lambda df, c, k: df.select("query_id", F.col(k).alias("page_id"), F.lit(c).alias("channel"), "rank", F.concat(F.lit(c), F.lit(":"), F.col(k)).alias("chunk_id"))
     return one(sparse, "sparse", "doc_id").unionByName(one(near, "dense", "id"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loamweave.functions import keys, text, vectors
 from loamweave.operators import chunking, context, dense, fulltext, fusion, graph, ingest, metrics
 from loamweave.operators.stage import newest, running_total
-from loamweave.plans import graph_queries
+from loamweave.plans import graph_queries, retrieval_queries
 
 
 def rows(df):
@@ -60,6 +60,20 @@ def test_fusion(spark):
     assert [(r.page_id, r.sparse_rank, r.dense_rank, len(r.evidence)) for r in got] == [("B", 2, 1, 1), ("A", 1, None, 1)]
 
 
+def test_hybrid_search_asks_with_every_twentieth_row(spark, tmp_path):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i)) + "x"
+    docs = [(i, f"{name(i)} common words", f"{i}. {name(i).upper()}" if i != 40 else "五") for i in range(1, 66)] + [(80, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    x = np.random.default_rng(2).standard_normal((101, 64))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = retrieval_queries.QUERIES["rrf_hybrid"][0](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {0, 20, 40, 60, 80, 100}
+    own = {r.query_id: (r.sparse_rank, r.dense_rank, r["rank"]) for r in got if r.page_id == r.query_id}
+    assert own == {0: (None, 1, 1), 20: (1, 1, 1), 40: (1, 1, 1), 60: (1, 1, 1), 80: (None, 1, 1), 100: (None, 1, 1)}
+    evidence = retrieval_queries.QUERIES["rrf_evidence"][0](spark, str(tmp_path)).where("query_id = page_id").collect()
+    assert {r.query_id: r.evidence for r in evidence}[60] == "dense:60,sparse:60" and len(evidence) == 6
+
+
 def test_graph_against_hand_computed_values(spark):
     pairs = graph.undirected(spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("c", "c"), ("d", "e"), ("a", None)], "source_id string, target_id string"))
     assert rows(graph.degrees(pairs)) == [("a", 1), ("b", 2), ("c", 1), ("d", 1), ("e", 1)]
