@@ -2,10 +2,16 @@
 
 Vectors are spread over cells around centroids fitted on a bounded sample. Inside a cell
 the residuals to the centroid are rotated by a random orthogonal matrix and kept as one
-bit a dimension with two correction scalars. A query meets the cells it is closest to;
-there the packed bits give an unbiased estimate of each inner product with an error
-bound, and only vectors whose upper bound beats the k-th best lower bound are compared
-exactly. Exact copies share one code; they are put back at the end.
+packed bit a dimension with two correction scalars. A query residual becomes four bit
+planes; counts of common bits give an unbiased estimate of each inner product with an
+error bound, and only vectors whose upper bound beats the k-th best are compared exactly.
+
+A query first meets the cells it is closest to. Then every cell left whose bound, from
+the query's closeness to the centroid and the span of its members' closeness, still beats
+the query's k-th best is met too, so probing ends where it can, in clustered data early
+and in shapeless data late. Cells are put together to groups of neighbouring ones; a
+query travels once to a group, whatever number of its cells it meets. Exact copies share
+one code; they are put back at the end.
 """
 
 from __future__ import annotations
@@ -16,16 +22,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamweave.operators import dense
 from loamweave.operators.stage import stage
 from loamweave.sources.tables import table
 
 #: Vectors the centroids are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
-PROBES = 12
+#: Cells a query meets first, and cells at most; with more vectors cells grow.
+PROBES, CELLS = 12, 4096
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 3.0
-#: Rows of a cell in one block, and queries to it.
-DATA_BLOCK, QUERY_BLOCK = 4096, 16_384
+#: Bit planes of a query.
+PLANES = 4
+#: Rows of a group of cells in one block, and queries to it.
+DATA_BLOCK, QUERY_BLOCK = 8192, 16_384
+#: Elements of one matrix of estimates.
+ELEMENTS = 1 << 21
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -60,29 +72,121 @@ def encode(unit: np.ndarray, centroid: np.ndarray, turn: np.ndarray) -> tuple[np
     return np.packbits(turned > 0, axis=1), length, np.where(length > 1e-12, fit, 1.0)
 
 
-def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, bits: np.ndarray, length: np.ndarray, fit: np.ndarray, centroid: np.ndarray, turn: np.ndarray, k: int):
-    """(query row, data row, cosine) of the up to k best of the block for each query, without the query itself."""
-    dim = data.shape[1]
-    signs = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    for at in range(0, len(queries), 1024):
-        q = queries[at : at + 1024]
-        residual = q - centroid
-        qlen = np.linalg.norm(residual, axis=1, keepdims=True)
-        # <x, q> = <x - c, q - c> + <x, c> + <q, c> - <c, c>
-        estimate = (residual @ turn) @ signs.T * (length / fit)
-        base = (data @ centroid)[None, :] + (q @ centroid)[:, None] - centroid @ centroid
-        error = EPSILON * qlen * (length * np.sqrt(np.maximum(1 - fit**2, 0)) / (fit * np.sqrt(max(dim - 1, 1))))
-        own = query_ids[at : at + 1024, None] == ids[None, :]
-        low = np.where(own, -4, estimate + base - error)
-        keep = min(k, low.shape[1])
-        floor = np.partition(low, low.shape[1] - keep, axis=1)[:, low.shape[1] - keep][:, None]
-        row, col = np.nonzero((estimate + base + error >= floor) & ~own)
-        exact = np.einsum("ij,ij->i", q[row], data[col])
-        order = np.lexsort((ids[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        first = np.searchsorted(row, np.arange(len(q)))
-        best = np.arange(len(row)) - first[row] < k
-        yield row[best] + at, col[best], exact[best]
+def planes_of(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bit planes (plane, row, byte) of rows quantised to ``PLANES`` bits a dimension, the least value and the step of each row."""
+    low = residual.min(1, keepdims=True)
+    step = np.maximum((residual.max(1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-12)
+    code = np.rint((residual - low) / step).astype(np.uint8)
+    return np.stack([np.packbits((code >> b) & 1, axis=1) for b in range(PLANES)]), low[:, 0], step[:, 0]
+
+
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Packed bytes as 64-bit words, filled up with zeros."""
+    fill = -packed.shape[-1] % 8
+    if fill:
+        packed = np.concatenate([packed, np.zeros((*packed.shape[:-1], fill), np.uint8)], axis=-1)
+    return np.ascontiguousarray(packed).view(np.uint64)
+
+
+def estimates(residual: np.ndarray, bits: np.ndarray, length: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimate, error bound) of the inner products of rotated query residuals with coded residuals, from counts of common bits."""
+    dim = residual.shape[1]
+    planes, low, step = planes_of(residual)
+    data, asked = _words(bits), _words(planes)
+    common = np.zeros((len(residual), len(bits)), dtype=np.float32)
+    for b in range(PLANES):
+        for w in range(data.shape[1]):
+            common += np.bitwise_count(asked[b, :, w][:, None] & data[:, w][None, :]) * np.float32(1 << b)
+    ones = np.bitwise_count(data).sum(1).astype(np.float32)
+    # sum over dims of q * (2 bit - 1), q = low + step * code
+    signed = 2 * (step[:, None].astype(np.float32) * common + low[:, None].astype(np.float32) * ones[None, :]) - residual.sum(1, keepdims=True)
+    scale = (length / (np.maximum(fit, 1e-6) * np.sqrt(dim))).astype(np.float32)
+    spread = np.sqrt(np.maximum(1 - fit**2, 0) / max(dim - 1, 1)) / np.maximum(fit, 1e-6) * length
+    size = np.linalg.norm(residual, axis=1)
+    rough = step * np.sqrt(dim / 12)  # of rounding to planes
+    return signed * scale[None, :], (EPSILON * (size[:, None] * spread[None, :] + rough[:, None] * (length / (np.maximum(fit, 1e-6) * np.sqrt(dim)))[None, :])).astype(np.float32)
+
+
+class Nearest:
+    """The k best (cosine, key) of each of some queries so far."""
+
+    def __init__(self, keys: np.ndarray, floor: np.ndarray, k: int) -> None:
+        self.keys, self.k = keys, k
+        self.floor = floor.astype(np.float64).copy()
+        self.row, self.near, self.cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def meet(self, at: np.ndarray, queries: np.ndarray, data: np.ndarray, ids: np.ndarray, bits: np.ndarray, length: np.ndarray, fit: np.ndarray, centroid: np.ndarray, turn: np.ndarray) -> None:
+        """Queries number ``at`` against the members of one cell."""
+        beside = data @ centroid
+        for start in range(0, len(at), max(1, ELEMENTS // max(1, len(data)))):
+            rows = at[start : start + max(1, ELEMENTS // max(1, len(data)))]
+            q = queries[rows]
+            guess, error = estimates((q - centroid) @ turn, bits, length, fit)
+            # <x, q> = <x - c, q - c> + <x, c> + <q, c> - <c, c>
+            guess += beside[None, :] + (q @ centroid)[:, None] - centroid @ centroid
+            own = self.keys[rows, None] == ids[None, :]
+            floor_of = self.floor[rows]
+            floor = floor_of.copy()
+            keep = min(self.k, guess.shape[1])
+            open_ = floor < -1.5
+            if open_.any():
+                low = np.where(own[open_], -4, guess[open_] - error[open_])
+                floor[open_] = np.partition(low, low.shape[1] - keep, axis=1)[:, low.shape[1] - keep]
+            row, col = np.nonzero((guess + error >= floor[:, None]) & ~own)
+            if 32 * len(row) > guess.size:  # many in few rows: their products at once, else one by one
+                close = (q @ data.T)[row, col] >= floor_of[row] - 1e-5
+                row, col = row[close], col[close]
+            exact = np.einsum("ij,ij->i", q[row].astype(np.float64), data[col].astype(np.float64))
+            good = exact >= floor_of[row] - 1e-9
+            self._add(rows[row[good]], ids[col[good]], exact[good])
+
+    def _add(self, row: np.ndarray, near: np.ndarray, cosine: np.ndarray) -> None:
+        if not len(row):
+            return
+        touched = np.zeros(len(self.keys), bool)
+        touched[row] = True
+        old = touched[self.row]
+        r, n, c = np.concatenate([self.row[old], row]), np.concatenate([self.near[old], near]), np.concatenate([self.cosine[old], cosine])
+        order = np.lexsort((n, -c, r))
+        r, n, c = r[order], n[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        best = place < self.k
+        last = place == self.k - 1
+        self.floor[r[last]] = np.maximum(self.floor[r[last]], c[last])
+        self.row, self.near, self.cosine = np.concatenate([self.row[~old], r[best]]), np.concatenate([self.near[~old], n[best]]), np.concatenate([self.cosine[~old], c[best]])
+
+
+def grouped(centroids: np.ndarray, held: np.ndarray, most: int) -> np.ndarray:
+    """Group number of each cell: cells are halved across their widest direction until a group holds at most ``most`` members or is one cell."""
+    group = np.zeros(len(centroids), dtype=np.int32)
+    todo, made = [np.arange(len(centroids))], 0
+    while todo:
+        cells = todo.pop()
+        if len(cells) < 2 or held[cells].sum() <= most:
+            group[cells] = made
+            made += 1
+            continue
+        inner = centroids[cells] - centroids[cells].mean(0)
+        order = cells[np.argsort(inner @ np.linalg.svd(inner, full_matrices=False)[2][0], kind="stable")]
+        cut = int(np.searchsorted(np.cumsum(held[order]), held[order].sum() / 2)) + 1
+        cut = min(max(1, cut), len(order) - 1)
+        todo += [order[:cut], order[cut:]]
+    return group
+
+
+def reachable(units: np.ndarray, floor: np.ndarray, centroids: np.ndarray, least: np.ndarray, most: np.ndarray, n: int) -> np.ndarray:
+    """(query, cell): whether a member of the cell may beat the query's k-th best.
+
+    A member's cosine is a b + sqrt(1 - a^2) sqrt(1 - b^2) t, with a and b the closeness of
+    member and query to the centroid; a lies between the cell's least and most, and t, the
+    cosine of what is left of both, is at most what the greatest of n random directions
+    reaches.
+    """
+    b = units @ centroids.T
+    t = min(1.0, np.sqrt(2 * np.log(max(n, 2))) / np.sqrt(max(1, units.shape[1] - 1)))
+    w = t * np.sqrt(np.maximum(1 - b**2, 0))
+    a = np.clip(b / np.maximum(np.sqrt(b**2 + w**2), 1e-9), least[None, :], most[None, :])
+    return a * b + w * np.sqrt(np.maximum(1 - a**2, 0)) >= floor[:, None]
 
 
 def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES) -> DataFrame:
@@ -93,6 +197,7 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
     are neighbours of one another with cosine 1.
     """
     spark: SparkSession = vectors.sparkSession
+    kind = dict(vectors.dtypes)["id"]
     rows = vectors.where("id is not null").where(usable(F.col("vector"), dim)).groupBy("id").agg(F.max("vector").alias("vector"))
     whole = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     units = rows.select("id", F.transform("vector", lambda x: (x / whole).cast("float")).alias("unit"))
@@ -103,14 +208,16 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
     reps = members.groupBy("key").agg(F.first("unit").alias("unit"))
     n = members.select("key").distinct().count()
     if not n:
-        return spark.createDataFrame([], f"id {dict(vectors.dtypes)['id']}, other {dict(vectors.dtypes)['id']}, cosine double, place int")
+        return spark.createDataFrame([], f"id {kind}, other {kind}, cosine double, place int")
     part = min(1.0, 1.2 * SAMPLE / n)
-    drawn = reps.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("unit").limit(SAMPLE).toPandas()
+    drawn = members.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("key", "unit").dropDuplicates(["key"]).limit(SAMPLE).toPandas()
+    drawn = drawn.sort_values("key")
     sample = np.array(drawn["unit"].tolist(), dtype=np.float32).reshape(-1, dim)
     if not len(sample):
         sample = np.eye(1, dim, dtype=np.float32)
-    centroids = fit_centroids(sample, int(np.ceil(np.sqrt(n))))
-    shared = spark.sparkContext.broadcast((centroids, rotation(dim)))  # sqrt(n) centroids
+    centroids = fit_centroids(sample, min(CELLS, int(np.ceil(np.sqrt(n)))))
+    turn = rotation(dim)
+    shared = spark.sparkContext.broadcast((centroids, turn))  # ``CELLS`` centroids at most
 
     def spread(batches):
         centroids, turn = shared.value
@@ -122,7 +229,6 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
             near = np.argsort(-closeness, axis=1, kind="stable")[:, :probes].astype(np.int32)
             raw = unit.tobytes()
             width = 4 * dim
-            packed = [raw[i * width : (i + 1) * width] for i in range(len(unit))]
             codes = [b""] * len(unit)
             length, fit = np.zeros(len(unit)), np.ones(len(unit))
             for c in np.unique(near[:, 0]):
@@ -130,20 +236,47 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
                 bits, length[at], fit[at] = encode(unit[at], centroids[c], turn)
                 for i, b in zip(at, bits):
                     codes[i] = b.tobytes()
-            yield pd.DataFrame({"key": pdf["key"], "unit": packed, "cells": list(near), "bits": codes, "length": length, "fit": fit})
-
-    coded = stage(reps.select("key", "unit").mapInPandas(spread, "key long, unit binary, cells array<int>, bits binary, length double, fit double"))
-    asked = coded.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n_asked"))
-    held = coded.select(F.element_at("cells", 1).alias("cell")).groupBy("cell").agg(F.count("*").alias("n_held"))
-    blocks = F.broadcast(held.join(asked, "cell").select(  # a row for each of sqrt(n) cells
-        "cell", F.ceil(F.col("n_held") / DATA_BLOCK).cast("int").alias("d"), F.ceil(F.col("n_asked") / QUERY_BLOCK).cast("int").alias("q")
-    ))
-    spot = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    data = coded.withColumn("cell", F.element_at("cells", 1)).join(blocks, "cell").select("cell", spot(F.col("d")).alias("db"), every("q").alias("qb"), "key", "unit", "bits", "length", "fit")
-    queries = coded.select("key", "unit", F.explode("cells").alias("cell")).join(blocks, "cell").select(
-        F.col("cell").alias("qcell"), spot(F.col("q")).alias("qq"), every("d").alias("qd"), F.col("key").alias("qkey"), F.col("unit").alias("qunit")
-    )
+            yield pd.DataFrame({
+                "key": pdf["key"], "unit": [raw[i * width : (i + 1) * width] for i in range(len(unit))], "cell": near[:, 0], "closeness": closeness[np.arange(len(unit)), near[:, 0]].astype(float),
+                "cells": list(near), "bits": codes, "length": length, "fit": fit,
+            })
+
+    coded = stage(reps.mapInPandas(spread, "key long, unit binary, cell int, closeness double, cells array<int>, bits binary, length double, fit double"))
+    counted = coded.groupBy("cell").agg(F.count("*").alias("n"), F.min("closeness").alias("least"), F.max("closeness").alias("most")).toPandas()  # a row a cell
+    held, least, most = np.zeros(len(centroids)), np.full(len(centroids), 2.0), np.full(len(centroids), -2.0)
+    held[counted["cell"]], least[counted["cell"]], most[counted["cell"]] = counted["n"], counted["least"], counted["most"]
+    group = grouped(centroids, held, DATA_BLOCK)
+    size = np.bincount(group, held)
+    parts = np.maximum(1, np.ceil(size / DATA_BLOCK)).astype(int)  # more than one only for a cell over the block
+    plan = spark.sparkContext.broadcast((group, held, np.where(held > 0, least, 1.0), np.where(held > 0, most, 1.0)))
+    group_of = spark.createDataFrame([(int(c), int(g), int(parts[g])) for c, g in enumerate(group)], "cell int, grp int, parts int")
+    data = coded.join(F.broadcast(group_of), "cell").select("grp", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("db"), "key", "unit", "cell", "bits", "length", "fit")  # a row a cell
+
+    def groups_met(floors):
+        """Travelling queries: a row for each group with cells that are to be met, first (without floors) the closest ones."""
+
+        def run(batches):
+            group, held, least, most = plan.value
+            centroids, _ = shared.value
+            for pdf in batches:
+                unit = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float32).reshape(-1, dim)
+                met = np.zeros((len(pdf), len(group)), bool)
+                if len(pdf):
+                    met[np.arange(len(pdf))[:, None], np.array(pdf["cells"].tolist(), dtype=np.int64)] = True
+                    if floors:
+                        met = ~met & (held > 0)[None, :] & reachable(unit, pdf["floor"].to_numpy(), centroids, least, most, int(held.sum()))
+                met &= (held > 0)[None, :]
+                row, cell = np.nonzero(met)
+                order = np.lexsort((cell, group[cell], row))
+                row, cell = row[order], cell[order].astype(np.int32)
+                start = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(group[cell]) != 0)])) if len(row) else np.zeros(0, int)
+                head = row[start]
+                yield pd.DataFrame({
+                    "qgrp": group[cell[start]] if len(row) else np.zeros(0, np.int32), "qkey": pdf["key"].to_numpy()[head], "qunit": [pdf["unit"].iloc[i] for i in head],
+                    "qcells": [c.tobytes() for c in np.split(cell, start[1:])] if len(row) else [], "floor": pdf["floor"].to_numpy()[head] if floors else np.full(len(head), -2.0),
+                })
+
+        return run
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -152,14 +285,33 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
         matrix = lambda s: np.frombuffer(b"".join(s), dtype=np.float32).reshape(-1, dim)
         q, x = matrix(left["qunit"]), matrix(right["unit"])
         bits = np.frombuffer(b"".join(right["bits"]), dtype=np.uint8).reshape(len(x), -1)
-        qk, xk = left["qkey"].to_numpy(), right["key"].to_numpy()
-        found = list(nearest_in_block(q, qk, x, xk, bits, right["length"].to_numpy(np.float32), right["fit"].to_numpy(np.float32), centroids[int(right["cell"].iloc[0])], turn, k))
-        row, col, cos = (np.concatenate(p) for p in zip(*found))
-        return pd.DataFrame({"key": qk[row], "near": xk[col], "cosine": cos.astype(np.float64)})
+        xk, xc = right["key"].to_numpy(), right["cell"].to_numpy()
+        length, fit = right["length"].to_numpy(np.float32), right["fit"].to_numpy(np.float32)
+        cells = [np.frombuffer(c, dtype=np.int32) for c in left["qcells"]]
+        flat, owner = np.concatenate(cells), np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        best = Nearest(left["qkey"].to_numpy(), left["floor"].to_numpy(), k)
+        for c in np.unique(flat):
+            at = np.flatnonzero(xc == c)
+            if len(at):
+                best.meet(owner[flat == c], q, x[at], xk[at], bits[at], length[at], fit[at], centroids[c], turn)
+        return pd.DataFrame({"key": best.keys[best.row], "near": best.near, "cosine": best.cosine})
+
+    def round_(asked: DataFrame, floors: bool) -> DataFrame:
+        """Pairs (key, near, cosine) of one round of probing; a group with many queries or members is met in blocks."""
+        travelling = stage(asked.mapInPandas(groups_met(floors), "qgrp int, qkey long, qunit binary, qcells binary, floor double"))
+        met = {r[0]: r[1] for r in travelling.groupBy("qgrp").count().collect()}  # a row a group
+        blocks = spark.createDataFrame([(int(g), int(parts[g]), max(1, -(-int(c) // QUERY_BLOCK))) for g, c in met.items()], "qgrp int, d int, q int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        queries = travelling.join(F.broadcast(blocks), "qgrp").select("qgrp", F.pmod(F.xxhash64("qkey"), F.col("q")).cast("int").alias("qq"), every("d").alias("qd"), "qkey", "qunit", "qcells", "floor")
+        there = data.join(F.broadcast(blocks.withColumnRenamed("qgrp", "grp")), "grp").select("grp", "db", every("q").alias("qb"), "key", "unit", "cell", "bits", "length", "fit")
+        return queries.groupBy("qgrp", "qd", "qq").cogroup(there.groupBy("grp", "db", "qb")).applyInPandas(compare, "key long, near long, cosine double")
 
-    pairs = queries.groupBy("qcell", "qd", "qq").cogroup(data.groupBy("cell", "db", "qb")).applyInPandas(compare, "key long, near long, cosine double")
     by = Window.partitionBy("key").orderBy(F.desc("cosine"), "near")
-    best = pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+    top = lambda pairs: pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+    first = stage(top(round_(coded.select("key", "unit", "cells"), False)))
+    floor = first.groupBy("key").agg(F.min(F.when(F.col("place") == k, F.col("cosine"))).alias("floor"))
+    asked = coded.select("key", "unit", "cells").join(floor, "key", "left").fillna(-1.0, ["floor"])
+    best = stage(top(first.select("key", "near", "cosine").unionByName(round_(asked, True))))
     around = (
         best.join(heads.withColumnRenamed("key", "near"), "near")
         .groupBy("key").agg(F.collect_list(F.struct("cosine", "ids")).alias("around"))  # k entries of k + 1 ids
@@ -190,3 +342,28 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs with a cosine of at least 0.9 where one is among the five most similar to the other."""
     close = similar(_chunk_vectors(spark, folder)).where("cosine >= 0.9 - 1e-9")
     return close.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
+
+
+def _recall(vectors: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Exact and found (query_id, id) of the asked ids."""
+    near = dense.topk(vectors.where(usable(F.col("vector"), 64)), vectors.where(usable(F.col("vector"), 64)).join(asked.distinct(), "id", "left_semi").withColumnRenamed("id", "query_id"), k + 1)
+    by = Window.partitionBy("query_id").orderBy("rank")
+    exact = near.where("id != query_id").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "id")
+    return exact, similar(vectors, k).select(F.col("id").alias("query_id"), F.col("other").alias("id"))
+
+
+def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the five most similar against exact search, asked with every vector whose number is divisible by 20: of clustered (dense_chunks) and shapeless (embeddings) vectors."""
+    chunks = table(spark, folder, "dense_chunks", "chunk_id", "chunk_index", "vector")
+    plain = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    parts = []
+    for name, vectors, asked in (
+        ("dense_chunks", _chunk_vectors(spark, folder), chunks.where("chunk_index % 20 = 0").select(F.col("chunk_id").alias("id"))),
+        ("embeddings", plain, plain.where("id % 20 = 0").select("id")),
+    ):
+        exact, found = _recall(vectors, asked, 5)
+        hits = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+        parts.append(hits.agg(
+            F.lit(name).alias("src_table"), F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_true"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("recall_reached"),
+        ).select("src_table", "n_queries", "n_true", "recall_reached"))
+    return parts[0].unionByName(parts[1])

