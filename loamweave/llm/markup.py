@@ -3,9 +3,10 @@
 One pass sets aside what must not be read as markup: code, comments, formulas, escapes.
 The rest goes through the events of the standard library's streaming HTML parser, which
 write plain lines and note the ratio of text to tags of each. The ratios are smoothed
-with a Gaussian and clustered by a threshold; lines of the low cluster are dropped
-unless they carry structure. Headings, lists and inline markup of the other notations
-are then read line by line.
+with a Gaussian and clustered by a threshold; of the low cluster, lines that mostly
+consist of links and controls are navigation and no content region. Headings, lists,
+code, formulas and inline markup of all notations are then read in content regions,
+line by line.
 """
 
 from __future__ import annotations
@@ -52,8 +53,9 @@ class Held:
 def hold(text: str) -> tuple[str, list[Held]]:
     """The text with held parts replaced by numbered marks, and the parts.
 
-    Whatever opens first holds everything up to its end. Unclosed code and comments
-    reach to the end of the text; other unclosed openers are plain characters.
+    Whatever opens first holds everything up to its end, however long it is. Unclosed
+    code and comments reach to the end of the text; other unclosed openers are plain
+    characters.
     """
     if OPEN in text or CLOSE in text or LITERAL in text:
         text = text.translate({0xE000: " ", 0xE001: " ", 0xE002: " "})
@@ -102,13 +104,13 @@ def hold(text: str) -> tuple[str, list[Held]]:
         elif group in ("display", "inline"):
             stop = text.find("\\]" if group == "display" else "\\)", end)
             body = text[end:stop].strip()
-            if stop >= 0 and body and len(body) < 2000 and "\n\n" not in body:
+            if stop >= 0 and body and ("\n\n" not in body or group == "display"):
                 pos = at = keep("formula", body, start, stop + 2)
         elif group == "dollars":
             mark = m["dollars"]
             stop = text.find(mark, end)
             body = text[end:stop] if stop >= 0 else ""
-            good = stop >= 0 and body.strip() and "\n\n" not in body and len(body) < 2000
+            good = stop >= 0 and body.strip() and ("\n\n" not in body or mark == "$$" and _MATH.search(body))
             if good and mark == "$":
                 good = not body[0].isspace() and not body[-1].isspace() and "\n" not in body and not text[stop + 1 : stop + 2].isdigit()
                 good = good and (_MATH.search(body) is not None or re.fullmatch(r"[A-Za-z](?:['′]|\([a-z]\))?", body) is not None)
@@ -134,18 +136,19 @@ def hold(text: str) -> tuple[str, list[Held]]:
 
 _BREAKS = frozenset("p div br tr table ul ol dl section article header footer blockquote hr h1 h2 h3 h4 h5 h6 li dt dd nav form aside".split())
 _NOISE = frozenset("a nav form button select option input iframe script style".split())
+_VOID = frozenset(("input",))
 
 
 class _Lines(HTMLParser):
-    """Writes lines (text, tag characters, noise tags) from parser events."""
+    """Writes lines [text, tag characters, noise tags, characters inside noise tags] from parser events."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
-        self.lines: list[list] = [["", 0, 0]]
-        self.heading = 0
+        self.lines: list[list] = [["", 0, 0, 0]]
+        self.heading = self.inside = 0
 
     def _new(self) -> None:
-        self.lines.append(["", 0, 0])
+        self.lines.append(["", 0, 0, 0])
 
     def _fresh(self) -> None:
         if self.lines[-1][0].strip():
@@ -156,7 +159,9 @@ class _Lines(HTMLParser):
             self._fresh()
         line = self.lines[-1]
         line[1] += len(self.get_starttag_text() or tag)
-        line[2] += tag in _NOISE
+        if tag in _NOISE:
+            line[2] += 1
+            self.inside += tag not in _VOID
         if re.fullmatch("h[1-6]", tag):
             self.heading = int(tag[1])
         elif tag == "li":
@@ -165,11 +170,15 @@ class _Lines(HTMLParser):
             line[0] += " | "
 
     def handle_startendtag(self, tag, attrs):
+        open_before = self.inside
         self.handle_starttag(tag, attrs)
+        self.inside = open_before
         self.heading = 0 if tag[0] == "h" else self.heading
 
     def handle_endtag(self, tag):
         self.lines[-1][1] += len(tag) + 3
+        if tag in _NOISE and tag not in _VOID:
+            self.inside = max(0, self.inside - 1)
         if re.fullmatch("h[1-6]", tag):
             self.heading = 0
         if tag in _BREAKS:
@@ -182,6 +191,9 @@ class _Lines(HTMLParser):
             if self.heading and part.strip() and not self.lines[-1][0].startswith(OPEN + "h"):
                 self.lines[-1][0] = f"{OPEN}h{self.heading}{CLOSE}"
             self.lines[-1][0] += part
+            if self.inside:
+                self.lines[-1][2] += not self.lines[-1][2]
+                self.lines[-1][3] += len(part.strip())
 
     def _literal(self, char: str) -> None:
         self.handle_data("".join(LITERAL + c if not c.isalnum() and not c.isspace() else c for c in char))
@@ -204,14 +216,14 @@ def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def content_lines(lines: list[list]) -> list[bool]:
-    """Which lines belong to content: high text-to-tag ratio after smoothing, or no navigation in them.
+    """Which lines belong to content regions.
 
-    The threshold lies half way between the means of the two clusters that it makes
-    itself, starting from the overall mean.
+    The smoothed text-to-tag ratios are parted by a threshold half way between the means
+    of the two clusters that it makes itself, starting from the overall mean. The high
+    cluster is content; of the low one, lines are not if at least half of their text lies
+    in links and controls.
     """
-    if not any(noise for _, _, noise in lines):
-        return [True] * len(lines)
-    ratio = np.log1p(np.array([len(t.strip()) / max(1, tag) for t, tag, _ in lines]))
+    ratio = np.log1p(np.array([len(t.strip()) / max(1, tag) for t, tag, _, _ in lines]))
     level = smooth(ratio)
     cut = level.mean()
     for _ in range(10):
@@ -219,7 +231,7 @@ def content_lines(lines: list[list]) -> list[bool]:
         if not len(low) or not len(high):
             break
         cut = (low.mean() + high.mean()) / 2
-    return [not noise or bool(x > cut) or len(t.strip()) > 3 * tag for (t, tag, noise), x in zip(lines, level)]
+    return [bool(x > cut) or not noise or 2 * inside < len(_MARK.sub("", re.sub(f"{OPEN}\\w+{CLOSE}", "", t)).strip()) for (t, _, noise, inside), x in zip(lines, level)]
 
 
 _ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?\s*$")
@@ -240,8 +252,6 @@ _INLINE = (
     (re.compile(r"(?<!\w)(_{1,3})(?=\S)([^_\n]+?)(?<=\S)\1(?!\w)"), r"\2"),
     (re.compile(r"\{\{[^{}|]*\|?([^{}]*)\}\}"), r"\1"),
 )
-#: What any structure or inline markup has at least one of.
-_STRUCTURE = re.compile(rf"[\[\]{{}}*_'\\|{LITERAL}•◦▪‣∙·●○]|^\s*(?:[-+#=]|\d{{1,3}}[.)])", re.M)
 _MARK = re.compile(f"{OPEN}(\\d+){CLOSE}")
 
 
@@ -259,25 +269,18 @@ def _inline(line: str) -> str:
 def convert(text: str | None) -> tuple[str, list[str], list[tuple[str, str]]]:
     """(clean text, kinds present in the order of ``KINDS``, blocks (kind, text)).
 
-    Blocks are heading, list, code, formula, table and text, in order. Null and empty
-    texts give ("", [], []).
+    Blocks are heading, list, code, formula, table and text, in order, of content regions
+    only. Null and empty texts give ("", [], []).
     """
     if not text or not text.strip():
         return "", [], []
     body, held = hold(text)
-    if "<" in body or "&" in body:
-        parser = _Lines()
-        parser.feed(body)
-        parser.close()
-        lines = parser.lines
-        keep = content_lines(lines)
-    else:
-        lines, keep = [[x, 0, 0] for x in body.split("\n")], None
-    raw = [x[0].rstrip("\r") for x in lines]
+    parser = _Lines()
+    parser.feed(body)
+    parser.close()
+    raw = [x[0].rstrip("\r") for x, kept in zip(parser.lines, content_lines(parser.lines)) if kept]
     blocks: list[tuple[str, str]] = []
     kinds: set[str] = set()
-    if keep is None and not held and not _STRUCTURE.search(body):
-        return re.sub(r"\n{3,}", "\n\n", body).strip("\n"), [], [("text", x) for x in raw if x.strip()]
     skip = False
     for i, line in enumerate(raw):
         if skip:
@@ -317,7 +320,7 @@ def convert(text: str | None) -> tuple[str, list[str], list[tuple[str, str]]]:
             if not re.sub(r"^[#\-\s]+", "", value.replace(LITERAL, "")):
                 continue
             kinds.add(kind)
-        if kind == "rule" or keep is not None and not keep[i] and kind == "text":
+        if kind == "rule":
             continue
         blocks.append((kind, re.sub(f"{OPEN}\\w+{CLOSE}", "", _inline(value)).replace(LITERAL, "")))
     out = []
@@ -328,7 +331,11 @@ def convert(text: str | None) -> tuple[str, list[str], list[tuple[str, str]]]:
 
 
 def clean(texts: DataFrame) -> DataFrame:
-    """(src_table, rec_key, clean_text, kinds) of (src_table, rec_key, text); exact copies are converted once."""
+    """(src_table, rec_key, clean_text, kinds) of (src_table, rec_key, text), a row a row.
+
+    Copies are converted as often as they occur: telling them apart first would shuffle
+    every text, which costs more than converting the few that repeat.
+    """
 
     def run(batches):
         for pdf in batches:
