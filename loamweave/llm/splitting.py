@@ -26,6 +26,7 @@ LEVELS = tuple(map(re.compile, (
     r"[。！？!?；]|[.;](?=\s)",
     r"\|",
 )))
+_NATURAL, _BLANK = re.compile("|".join(p.pattern for p in LEVELS[2:])), re.compile(r"\s")
 
 
 def tokens(length: int) -> int:
@@ -59,20 +60,28 @@ def _stretches(text: str, start: int, end: int, limit: int, level: int = 0) -> I
 def _forced(text: str, start: int, end: int, width: int) -> Iterator[tuple[int, int]]:
     """Cuts of at most ``width`` characters after a blank where the second half has one, else between characters."""
     while end - start > width:
-        cut = max((m.end() for m in re.compile(r"\s").finditer(text, start + width // 2, start + width)), default=start + width)
+        cut = max((m.end() for m in _BLANK.finditer(text, start + width // 2, start + width)), default=start + width)
         yield start, cut
         start = cut
     yield start, end
 
 
+def _overlap_start(text: str, back: int, end: int) -> int:
+    for kind in (_NATURAL, _BLANK):
+        if m := kind.search(text, back, back + (end - back) // 2):
+            return m.end()
+    return back
+
+
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool]]:
     """Pieces (start, fresh, end, forced): text[start:end] is the piece, what is before ``fresh`` repeats the piece before.
 
     The ranges fresh:end follow one another and cover the text. A text within the limit
     is one piece; an empty text is one empty piece. The overlap is up to ``overlap``
-    tokens; it starts after a blank if its first half has one, else at a character. Only
-    before a stretch without inner boundary that fits the limit but not beside the whole
-    overlap is it cut to the characters left.
+    tokens; it starts at a natural boundary if its first half has one, else after a blank,
+    else at a character, so unspaced text has it too. Only before a stretch without inner
+    boundary that fits the limit but not beside the whole overlap is it cut to the
+    characters left.
     """
     if tokens(len(text)) <= limit:
         return [(0, 0, len(text), False)]
@@ -94,8 +103,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
             pieces.append((start, fresh, end, forced))
             start = fresh = end
             back = max(pieces[-1][0], end - room)
-            gap = next((m.end() for m in re.compile(r"\s").finditer(text, back, back + (end - back) // 2)), back)
-            start, forced = max(gap, b - width), False
+            start, forced = max(_overlap_start(text, back, end), b - width), False
         end, forced = b, forced or cut
     pieces.append((start, fresh, end, forced))
     return pieces
