@@ -39,7 +39,6 @@ ROUNDS = 3
 #: Share of one character among those of its script without a piece, and weight of a piece never seen.
 UNKNOWN, UNSEEN = 1e-3, 0.02
 SCRIPTS = 3
-LONGEST_PIECE, LONGEST_WORD = 12, 24
 #: Nats by which a sentence must favour another language over the main one.
 MARGIN = 8.0
 
@@ -48,7 +47,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 _STOP = re.compile(r"[。！？]+|[.!?]+(?=[\s\"'»”)\]*_]|$|[぀-ヿ一-鿿])")
 MASK = "\ue000"
 _PARAGRAPH = re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")
-_TAG = re.compile(r"<[^<>]{0,300}>|&[a-z#0-9]{2,8};|\\(?:begin|end)\{[^{}]*\}")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![^<>]*>|&[a-z#0-9]{2,8};|\\(?:begin|end)\{[^{}]*\}")
 _OWN_LINE = re.compile(r"^\s*(?:[-+•◦▪‣*]+\s|\d{1,3}[.)]\s|\\item\b|#{1,6}\s|=+[^=]|<li\b|<h[1-6]\b|\\(?:sub)*section)", re.I)
 _CELL = re.compile(r"<t[dhr]\b", re.I)
 
@@ -68,11 +67,9 @@ def weight(word: str) -> float:
     return len(word) / 4 if _CJK.match(word) else (1 / 3 + 1e-9) if word.isalpha() else 0.0
 
 
-def stretches(word: str) -> list[str]:
-    """What is scored of a word: runs in stretches of at most 24 characters, other words with a leading blank, nothing of words with digits."""
-    if _CJK.match(word):
-        return [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
-    return [" " + word[:LONGEST_WORD]] if word.isalpha() else []
+def scored(word: str) -> str:
+    """What is scored of a word: Chinese or Japanese runs as they are, other words with a leading blank, nothing of words with digits."""
+    return word if _CJK.match(word) else " " + word if word.isalpha() else ""
 
 
 def _no_piece(char: str) -> int:
@@ -80,34 +77,63 @@ def _no_piece(char: str) -> int:
 
 
 class Pieces:
-    """The vocabulary's pieces that are whole characters, by text."""
+    """The vocabulary's pieces that are whole characters, by text: of a file, or as they are given."""
 
-    def __init__(self, path: str = VOCABULARY) -> None:
+    def __init__(self, path: str = VOCABULARY, pieces: list[str] | None = None) -> None:
         self.index: dict[str, int] = {}
-        for line in open(path, "rb"):
-            raw = base64.b64decode(line.split()[0])
-            try:
-                piece = raw.decode().lower()
-            except UnicodeDecodeError:
-                continue
-            if len(piece) <= LONGEST_PIECE:
-                self.index.setdefault(piece, len(self.index))
+        for piece in pieces if pieces is not None else self._read(path):
+            self.index.setdefault(piece, len(self.index))
+        self.longest: dict[str, int] = {}  # by the first two characters
+        for piece in self.index:
+            self.longest[piece[:2]] = max(self.longest.get(piece[:2], 0), len(piece))
+
+    @staticmethod
+    def _read(path: str) -> Iterator[str]:
+        with open(path, "rb") as lines:
+            for line in lines:
+                try:
+                    yield base64.b64decode(line.split()[0]).decode().lower()
+                except UnicodeDecodeError:
+                    continue
 
     def spans(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) of every piece inside the word, by start; a negative number for a character without a piece, by script."""
-        get, out = self.index.get, []
+        get, longest, out = self.index.get, self.longest.get, []
         for i in range(len(word)):
-            hit = False
-            for j in range(i + 1, min(len(word), i + LONGEST_PIECE) + 1):
+            one = get(word[i])
+            out.append((i, i + 1, _no_piece(word[i]) if one is None else one))
+            for j in range(i + 2, min(len(word), i + longest(word[i : i + 2], 0)) + 1):
                 piece = get(word[i:j])
                 if piece is not None:
                     out.append((i, j, piece))
-                    hit = hit or j == i + 1
-            if not hit:
-                out.append((i, i + 1, _no_piece(word[i])))
         return out
 
 
+def _forward(spans: list[tuple[int, int, int]], n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, scale): exp(scale[i]) * alpha[i] is the probability of the first i characters, summed over all segmentations.
+
+    Each position is scaled as it is left, so words of any length neither run out of range
+    nor have to be cut.
+    """
+    alpha, scale = np.zeros((n + 1, table.shape[1])), np.zeros((n + 1, table.shape[1]))
+    alpha[0] = 1
+    reach = max((j - i for i, j, _ in spans), default=1)
+    at, shift = -1, np.zeros(table.shape[1])  # what is written ahead of ``at`` is in units of exp(shift)
+    for i, j, piece in spans:
+        while at < i:
+            at += 1
+            scale[at] = shift
+            low = alpha[at]
+            if at and (low < 1e-100).any():
+                by = np.maximum(low, 1e-280)
+                alpha[at : at + reach + 1] /= by
+                shift = shift + np.log(by)
+                scale[at] = shift
+        alpha[j] += alpha[i] * table[piece]
+    scale[at + 1 :] = shift
+    return alpha, scale
+
+
 class Model:
     """Piece probabilities, one column a language; the last rows are characters without a piece, by script."""
 
@@ -119,11 +145,8 @@ class Model:
 
     def forward(self, word: str) -> np.ndarray:
         """Log probability of the word, summed over all segmentations."""
-        alpha = np.zeros((len(word) + 1, self.table.shape[1]))
-        alpha[0] = 1
-        for i, j, piece in self.pieces.spans(word):
-            alpha[j] += alpha[i] * self.table[piece]
-        return np.log(np.maximum(alpha[-1], 1e-280))
+        alpha, scale = _forward(self.pieces.spans(word), len(word), self.table)
+        return np.log(np.maximum(alpha[-1], 1e-280)) + scale[-1]
 
     def row(self, word: str) -> int:
         at = self.rows.get(word)
@@ -132,7 +155,7 @@ class Model:
             if at >= len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
                 self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
-            self.scores[at] = sum((self.forward(x) for x in stretches(word)), np.zeros(self.table.shape[1]))
+            self.scores[at] = self.forward(x) if (x := scored(word)) else 0
             self.weights[at] = weight(word)
         return at
 
@@ -162,7 +185,7 @@ def fit(texts: list[tuple[str, int]], pieces: Pieces | None = None) -> Model:
             found = list(zip((w for w, _ in found), model.score_all([w for w, _ in found])[0].argmax(1).tolist()))
         counts: dict[str, np.ndarray] = {}
         for w, lang in found:
-            for x, c in Counter(x for y in w for x in stretches(y)).items():
+            for x, c in Counter(x for y in w if (x := scored(y))).items():
                 counts.setdefault(x, np.zeros(langs))[lang] += c
         if model is None:
             expected = np.zeros((n, langs))
@@ -173,16 +196,12 @@ def fit(texts: list[tuple[str, int]], pieces: Pieces | None = None) -> Model:
         for _ in range(ROUNDS if relabel else 1):
             expected = np.zeros((n, langs))
             for x, c in counts.items():
-                spans = pieces.spans(x)
-                alpha, beta = np.zeros((len(x) + 1, langs)), np.zeros((len(x) + 1, langs))
-                alpha[0] = beta[-1] = 1
-                for i, j, piece in spans:
-                    alpha[j] += alpha[i] * model.table[piece]
-                for i, j, piece in reversed(spans):
-                    beta[i] += model.table[piece] * beta[j]
-                share = c / np.maximum(alpha[-1], 1e-280)
+                spans, size = pieces.spans(x), len(x)
+                alpha, up = _forward(spans, size, model.table)
+                beta, down = _forward(sorted((size - j, size - i, piece) for i, j, piece in spans), size, model.table)
+                whole = np.log(np.maximum(alpha[-1], 1e-280)) + up[-1]
                 for i, j, piece in spans:
-                    expected[piece] += alpha[i] * model.table[piece] * beta[j] * share
+                    expected[piece] += c * alpha[i] * model.table[piece] * beta[size - j] * np.exp(up[i] + down[size - j] - whole)
             model = Model(_probabilities(expected), pieces)
     return model
 
@@ -302,11 +321,11 @@ _LAST: dict[str, Model] = {}
 
 def _model(name: str, parts: tuple) -> Model:
     if name not in _LAST:
-        used, values, least, shape = parts
+        used, values, least, shape, pieces = parts
         whole = np.broadcast_to(least, shape).copy()
         whole[used] = values
         _LAST.clear()
-        _LAST[name] = Model(whole, Pieces())
+        _LAST[name] = Model(whole, Pieces(pieces=pieces))
     return _LAST[name]
 
 
@@ -315,7 +334,7 @@ def detect(texts: DataFrame, model: Model) -> DataFrame:
     name = uuid.uuid4().hex
     least = model.table[:-SCRIPTS].min(0)
     used = np.flatnonzero((np.abs(model.table / least - 1) > 1e-4).any(1))  # the sample's pieces
-    shared = texts.sparkSession.sparkContext.broadcast((used, model.table[used], least, model.table.shape))
+    shared = texts.sparkSession.sparkContext.broadcast((used, model.table[used], least, model.table.shape, list(model.pieces.index)))  # bounded by the vocabulary
 
     def run(batches):
         own = _model(name, shared.value)
