@@ -38,6 +38,27 @@ def test_forward_sums_all_segmentations(model):
     assert np.isclose(model.forward(word)[0], np.log(brute(word)))
 
 
+def test_words_of_any_length_are_scored_whole(model):
+    word = "rindfleischetikettierungsüberwachungsaufgabenübertragungsgesetz"
+    got = model.forward(" " + word)
+
+    def brute(col):
+        alpha = [1.0] + [0.0] * (len(word) + 1)
+        for i, j, piece in model.pieces.spans(" " + word):
+            alpha[j] += alpha[i] * model.table[piece, col]
+        return np.log(alpha[-1])
+
+    assert np.allclose(got[[0, 2]], [brute(0), brute(2)]) and len(word) > 24
+    assert (np.diff([model.forward("相机" * n)[1] for n in (5, 50, 500, 5000)]) < 0).all() and np.isfinite(model.forward(" " + "ab" * 20_000)).all()
+    longest = max((p for p in model.pieces.index if p.strip().isalpha()), key=len)
+    assert any(j - i == len(longest) for i, j, _ in model.pieces.spans(longest)) and len(longest) > 12
+
+
+def test_long_tags_are_no_prose(model):
+    tag = "<div " + "data-x='the camera keeps the frame.' " * 40 + ">"
+    assert [s.strip() for _, s, _ in language.sentences(f"{tag} Clean it. 3 < 5 and 7 > 2.")] == ["Clean it", "3 < 5 and 7 > 2"]
+
+
 def test_main_language_and_paragraphs(model):
     got = language.identify_all([EN, f"{EN}\n\nDer Sensor ist sauber und lang. {EN}\n\n```\nDie Kamera behält das Bild.\n\nx\n```\n\n{ZH}", ZH, None, "", "12 | 34", DE * 200], model)
     assert [g[0] for g in got] == ["en", "en", "zh", None, None, None, "de"]
@@ -76,6 +97,51 @@ def test_recall_against_brute_force(spark):
     assert all(len(v) == 5 for v in got.values()) and np.mean([len(got[k] & want[k]) / 5 for k in want]) >= 0.9
 
 
+def test_recall_without_clusters(spark):
+    x = np.random.default_rng(3).standard_normal((1500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    found = {}
+    for r in neighbours.similar(df).collect():
+        found.setdefault(r.id, set()).add(r.other)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    assert np.mean([len(found[i] & set(np.argsort(-s[i])[:5].tolist())) / 5 for i in range(0, 1500, 20)]) >= 0.9
+
+
+def test_a_cell_with_a_third_of_all_vectors_is_split(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "DATA_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 50)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([_vectors(300), np.eye(64)[0] + 0.01 * rng.standard_normal((200, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    found = {}
+    for r in neighbours.similar(df).collect():
+        found.setdefault(r.id, set()).add(r.other)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    assert np.mean([len(found[i] & set(np.argsort(-s[i])[:5].tolist())) / 5 for i in range(500)]) >= 0.97
+
+
+def test_groups_cover_all_cells_once():
+    rng = np.random.default_rng(5)
+    held = rng.integers(0, 50, 90).astype(float)
+    held[7] = 900
+    group = neighbours.grouped(rng.standard_normal((90, 8)), held, 120)
+    assert sorted(set(group)) == list(range(max(group) + 1))
+    assert all(held[group == g].sum() <= 120 or (group == g).sum() == 1 for g in set(group))
+
+
+def test_counts_of_common_bits_estimate_within_the_bound():
+    x = _vectors(300)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c, turn = x[:50].mean(0), neighbours.rotation(64)
+    bits, length, fit = neighbours.encode(x, c, turn)
+    guess, bound = neighbours.estimates((x[:20] - c) @ turn, bits, length, fit)
+    assert (np.abs(guess - (x[:20] - c) @ (x - c).T) <= bound + 1e-5).mean() > 0.99
+
+
 def test_estimates_lie_within_their_bounds():
     x = _vectors(300)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -169,6 +235,20 @@ def test_clean_text_keeps_structure_and_drops_navigation():
     assert len(markup.convert("word " * 50_000)[0]) > 200_000
 
 
+@pytest.mark.parametrize("text", ["\\[" + "x^2 + " * 2000 + "1\\]", "\\(" + "x^2 + " * 2000 + "1\\)", "$$" + "x^2 + " * 2000 + "1$$", "$" + "x^2 + " * 2000 + "1$", "$$a = b\n\nc = d$$", "\\[a = b\n\nc = d\\]"])
+def test_formulas_of_any_length(text):
+    assert markup.convert(f"before {text} after")[1] == ["formula"] and markup.hold(text)[1][0].end == len(text)
+
+
+def test_navigation_is_no_content_region():
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Page {i}</a></li>" for i in range(8)) + "</ul>\n"
+    body = "<p>" + "The camera keeps the last valid frame. " * 12 + "</p>\n"
+    assert markup.convert(menu + body)[1] == [] and "Page 3" not in markup.convert(menu + body)[0]
+    assert markup.convert(menu + body + "<ul><li>Clean the <a href=x>lens</a> with a soft cloth</ul>")[1] == ["list"]
+    inline = "<p>See the <a href=x>manual</a> for the long list of all values.</p>\n" + body
+    assert "See the manual" in markup.convert(inline)[0]
+
+
 def test_clean_in_spark(spark):
     df = spark.createDataFrame([("t", "1", "# A", "x"), ("t", "2", None, "x"), ("t", "3", "", "x")], "src_table string, rec_key string, text string, kinds string")
     assert rows(markup.clean(df)) == [("t", "1", "# A", ["heading"]), ("t", "2", "", []), ("t", "3", "", [])]
@@ -203,6 +283,13 @@ def test_every_later_piece_has_the_overlap(text):
         assert f - a >= (min(40, 1003 - (e - f)) if tight else min(40, before - start))
 
 
+def test_the_overlap_starts_at_the_best_boundary():
+    text = "这是一句话。" * 400
+    assert all(text[a - 1] == "。" for a, _, _, _ in splitting.split_text(text)[1:])
+    text = "plain words only " * 300
+    assert all(text[a - 1] == " " for a, _, _, _ in splitting.split_text(text)[1:])
+
+
 def test_split_in_spark(spark):
     df = spark.createDataFrame([("a", "[]", "x" * 1100, 1), ("a", "[]", "x" * 1100, 2), ("b", None, "word. " * 300, 0), ("c", "[]", None, 0), ("d", "[]", "", 0)], "chunk_id string, section_path string, text string, piece_no int")
     got = splitting.split_chunks(df)
