@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +14,17 @@ ROWS_PER_BUCKET = 50_000
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without
-    one (a local test) gets a temporary folder.
+    The folder is the session's ``spark.checkpoint.dir``, which all executors share. A
+    session without one raises, except in local mode, where one machine holds driver and
+    executors: it gets ``spark.local.dir``.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loamweave-"))
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.local.dir', '/tmp')}/loamweave-{context.applicationId}")
     return df.checkpoint(eager=True)
 
 
@@ -61,3 +63,17 @@ def running_total(df: DataFrame, keys: list[str], unique: list[str], value: Colu
         .join(offsets, [*keys, "_b"])
         .withColumn(name, F.col("_w") + F.col("_o")).drop("_b", "_v", "_w", "_o")
     )
+
+
+def ordered_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, span: int = 4096) -> DataFrame:
+    """Exclusive running total of ``value`` in the order of the integer column ``order``, whose values are distinct within a key.
+
+    Each span of ``order`` is summed on its own and shifted by the totals of the spans
+    before it, so no key has to fit into one task.
+    """
+    df = df.withColumn("_c", F.floor(F.col(order) / span).cast("long")).withColumn("_v", value)
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(*keys, "_c").agg(F.sum("_v").alias("_t")).withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    inside = Window.partitionBy(*keys, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn("_w", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    return summed.join(offsets, [*keys, "_c"]).withColumn(name, F.col("_w") + F.col("_o")).drop("_c", "_v", "_w", "_o")
