@@ -2,7 +2,9 @@
 
 Each method's values are standardised inside their query with the median and the median
 absolute deviation, squashed by the logistic function and combined by a weighted
-geometric mean, so no method outweighs another through its range.
+geometric mean, so no method outweighs another through its range. The page that leads its
+query in most methods is looked for at the top of that ranking and checked against every
+other page; only where it fails are the other pages tried in the order of the ranking.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ METHODS = ("bm25", "fused", "vector", "graph")
 VALUES = tuple(f"v_{m}" for m in METHODS)
 #: Bounded value of a page without a counted row in a method.
 ABSENT = 1e-3
+#: Bound of a standardised value, which outliers come near to without ever tying.
+REACH = 6.0
 #: Pages in one task's fold of the pairwise check.
 FOLD = 512
 
@@ -52,37 +56,53 @@ def counted_values(retrieved: DataFrame, edges: DataFrame) -> DataFrame:
     return plain.unionByName(vector).unionByName(graph).where("value is not null")
 
 
-def bounded_scores(values: DataFrame) -> DataFrame:
-    """Adds ``bounded`` in (0, 1): logistic of 0.6745 (value - median) / MAD of its query and method.
+def _pages(values: DataFrame) -> DataFrame:
+    """(query_id, page_id, one value a method): a row a page."""
+    of = lambda m: F.max(F.when(F.col("retrieval_method") == m, F.col("value"))).alias(f"v_{m}")
+    return values.groupBy("query_id", "page_id").agg(*(of(m) for m in METHODS))
+
+
+def _bounded(pages: DataFrame) -> DataFrame:
+    """Adds ``b_`` columns in (0, 1) and n_pages to ``_pages``: the logistic of 0.6745 (value - median) / MAD of query and method, bent so that outliers approach ``REACH`` and never tie.
 
-    Medians are approximate with an error of 1/10000 of the rows, so their state is
-    bounded however many rows a query has. A MAD of zero leaves 0.5 for the median and
-    the extremes for the rest.
+    Two aggregations by query serve all methods. Where half of the values are equal (MAD
+    0), 1.2533 times the mean absolute deviation takes its place. Medians are exact up to
+    10,000 pages a query and method, beyond within 1/10,000 of the ranks, so their state
+    is bounded however many pages a query has.
     """
-    keys = ["query_id", "retrieval_method"]
-    middle = values.groupBy(*keys).agg(F.percentile_approx("value", 0.5, 10000).alias("median"))
-    apart = values.join(middle, keys).withColumn("apart", F.col("value") - F.col("median"))
-    spread = apart.groupBy(*keys).agg(F.percentile_approx(F.abs("apart"), 0.5, 10000).alias("mad"))
-    z = F.when(F.col("apart") == 0, 0.0).otherwise(0.6745 * F.col("apart") / F.greatest("mad", F.lit(1e-9)))
-    squashed = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-6.0)), F.lit(6.0))))
-    return apart.join(spread, keys).select(*keys, "page_id", "value", squashed.alias("bounded"))
+    middle = lambda c: F.percentile_approx(c, 0.5, 10000)
+    centre = pages.groupBy("query_id").agg(F.count("*").alias("n_pages"), *(middle(f"v_{m}").alias(f"c_{m}") for m in METHODS))
+    apart = lambda m: F.abs(F.col(f"v_{m}") - F.col(f"c_{m}"))
+    centred = pages.join(centre, "query_id")
+    spread = centred.groupBy("query_id").agg(*(middle(apart(m)).alias(f"d_{m}") for m in METHODS), *(F.avg(apart(m)).alias(f"a_{m}") for m in METHODS))
+
+    def squashed(m: str) -> Column:
+        scale = F.when(F.col(f"d_{m}") > 0, F.col(f"d_{m}") / 0.6745).otherwise(1.2533 * F.col(f"a_{m}"))
+        z = F.when(scale > 0, (F.col(f"v_{m}") - F.col(f"c_{m}")) / scale).otherwise(F.when(F.col(f"v_{m}").isNotNull(), 0.0))
+        return (1 / (1 + F.exp(-z / (1 + F.abs(z) / REACH)))).alias(f"b_{m}")
+
+    return centred.join(spread, "query_id").select("query_id", "page_id", *VALUES, "n_pages", *map(squashed, METHODS), *(F.col(f"c_{m}").isNotNull().alias(f"u_{m}") for m in METHODS))
+
+
+def bounded_scores(values: DataFrame) -> DataFrame:
+    """(query_id, retrieval_method, page_id, value, bounded) of counted values."""
+    rows = _bounded(_pages(values))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("retrieval_method"), F.col(f"v_{m}").alias("value"), F.col(f"b_{m}").alias("bounded")) for m in METHODS)))
+    return rows.select("query_id", "page_id", each.alias("x")).select("query_id", "x.retrieval_method", "page_id", "x.value", "x.bounded").where("value is not null")
 
 
 def fuse(retrieved: DataFrame, edges: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, page_id, one value a method, fused): the weighted geometric mean over the query's methods.
+    """(query_id, page_id, one value a method, fused, n_pages): the weighted geometric mean over the query's methods.
 
     A page without a counted row in a method used by its query gets ``ABSENT`` there;
     a method no page of the query is counted in does not take part.
     """
     weights = {m: 1.0 for m in METHODS} | (weights or {})
-    scored = bounded_scores(stage(counted_values(retrieved, edges)))
-    of = lambda m, c: F.max(F.when(F.col("retrieval_method") == m, F.col(c)))
-    pages = scored.groupBy("query_id", "page_id").agg(*(of(m, "value").alias(f"v_{m}") for m in METHODS), *(of(m, "bounded").alias(f"b_{m}") for m in METHODS))
-    used = pages.groupBy("query_id").agg(F.count("*").alias("n_pages"), *(F.count(f"v_{m}").alias(f"n_{m}") for m in METHODS))
-    share = lambda m, x: F.when(F.col(f"n_{m}") > 0, x).otherwise(F.lit(0.0))
+    rows = _bounded(stage(_pages(counted_values(retrieved, edges))))
+    share = lambda m, x: F.when(F.col(f"u_{m}"), x).otherwise(F.lit(0.0))
     logs = sum((share(m, weights[m] * F.log(F.coalesce(f"b_{m}", F.lit(ABSENT)))) for m in METHODS), F.lit(0.0))
     total = sum((share(m, F.lit(float(weights[m]))) for m in METHODS), F.lit(0.0))
-    return pages.join(used, "query_id").select("query_id", "page_id", *VALUES, F.exp(logs / total).alias("fused"), "n_pages")
+    return rows.select("query_id", "page_id", *VALUES, F.exp(logs / total).alias("fused"), "n_pages")
 
 
 def _lead(a: Column, b: Column) -> Column:
@@ -102,31 +122,45 @@ def _champions(pages: DataFrame, keys: list[str]) -> DataFrame:
     return pages.groupBy(*keys).agg(ordered.alias("row")).select(*keys, knock_out.alias("page"))
 
 
+def _held(pages: DataFrame, best: DataFrame) -> DataFrame:
+    """(query_id, best, holds): whether the page struct ``best`` of a query is ahead of each other page."""
+    behind = (F.col("page.page_id") != F.col("best.page_id")) & (_lead(F.col("best"), F.col("page")) <= 0)
+    return pages.join(best, "query_id").groupBy("query_id").agg(F.first("best").alias("best"), (F.max(behind.cast("int")) == 0).alias("holds"))
+
+
 def leaders(fused: DataFrame) -> DataFrame:
-    """The page of each query that against every other one is ahead in more methods than behind.
+    """(query_id, page_id, fused_first): the page of each query that against every other one is ahead in more methods than behind.
 
-    A knock-out in groups of about ``FOLD`` pages, then of the groups' winners, leaves
-    one page a query; it stays if it holds against all pages of the query. Queries with
-    no such page give no row.
+    The first page of the fused ranking is checked against all pages of its query. Where it
+    does not hold, a knock-out in the order of the ranking, in groups of about ``FOLD``
+    pages and then of the groups' winners, leaves the one page that may, and it is checked
+    in the same way. Queries with no such page give no row; fused_first tells where the
+    ranking's first page was it.
     """
-    fused = stage(fused)
     page = F.struct(F.col("fused"), F.col("page_id"), *(F.col(m) for m in VALUES)).alias("page")
-    part = F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n_pages") / FOLD)).alias("part")
-    first = _champions(fused.select("query_id", part, page), ["query_id", "part"])
-    best = stage(_champions(first.select("query_id", "page"), ["query_id"]).withColumnRenamed("page", "best"))
-    held = (
-        fused.select("query_id", page).join(best, "query_id")
-        .where(F.col("page.page_id") != F.col("best.page_id"))
-        .withColumn("open", (_lead(F.col("best"), F.col("page")) <= 0).cast("int"))
-        .groupBy("query_id").agg(F.sum("open").alias("open"))
-    )
-    return best.join(held, "query_id", "left").where("coalesce(open, 0) = 0").select("query_id", F.col("best.page_id").alias("page_id"))
+    pages = stage(fused.select("query_id", "n_pages", page))
+    top = stage(_held(pages, pages.groupBy("query_id").agg(F.max("page").alias("best"))))
+    left = pages.join(top.where("not holds").select("query_id"), "query_id", "left_semi")
+    part = F.pmod(F.xxhash64("page.page_id"), F.ceil(F.col("n_pages") / FOLD)).alias("part")
+    first = _champions(left.select("query_id", part, "page"), ["query_id", "part"])
+    other = _held(left, _champions(first.select("query_id", "page"), ["query_id"]).withColumnRenamed("page", "best"))
+    both = top.withColumn("fused_first", F.lit(True)).unionByName(other.withColumn("fused_first", F.lit(False)))
+    return both.where("holds").select("query_id", F.col("best.page_id").alias("page_id"), "fused_first")
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+def _leaders(spark: SparkSession, folder: str) -> DataFrame:
     return leaders(fuse(table(spark, folder, "retrieved_pages"), table(spark, folder, "graph_edges")))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaders(spark, folder).select("query_id", "page_id")
+
+
+def p3_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaders of p3_found, and whether the fused ranking had each of them first."""
+    return _leaders(spark, folder)
+
+
 def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Every counted page of each query with its fused score."""
     fused = fuse(table(spark, folder, "retrieved_pages"), table(spark, folder, "graph_edges"))
