@@ -5,7 +5,9 @@ capacity is large, whatever the number of texts: a container's gap is closed exa
 one, two or three sizes found by exact complements (a size, a pair sum or a triple sum
 equal to the gap), as often as the counts allow; where none fits exactly, the largest
 size that fits goes in and the search is repeated, which ends as best-fit for the rest.
-A plan row covers a range of texts of one size; texts find theirs by a join.
+A plan row covers a range of texts of one size. Ranges and texts meet in cells of
+``CELL`` ordinals, in each of which a text takes the range that starts last before it, so
+no text is multiplied and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -13,11 +15,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamweave.llm.sizes import token_size
 from loamweave.operators.stage import bucket_count, running_total, stage
 from loamweave.sources.tables import table
 
+#: Ordinals of one size in one task.
+CELL = 8192
+
 
 def _pair(count: np.ndarray, total: int) -> list[int] | None:
     """Two available sizes whose sum is ``total``."""
@@ -121,14 +127,14 @@ def pack(texts: DataFrame, profiles: DataFrame) -> DataFrame:
         rows += [(p, *r) for r in plan_containers(counts, caps[p])]
     total = max((sum(c.values()) for c in per.values()), default=0)
     plan = spark.createDataFrame(rows, "profile string, piece_size bigint, first bigint, last bigint, each bigint, start bigint")
-    placed = (
-        running_total(rest, ["profile", "piece_size"], ["id"], F.lit(1), "ordinal", bucket_count(total))
-        .join(F.broadcast(plan), ["profile", "piece_size"])  # bounded by the capacity
-        .where("ordinal between first and last")
-        .select(
-            "profile", "capacity", "id", "piece_no", "piece_size", (F.col("piece_no") > 0).alias("oversized"),
-            F.concat(F.lit("c"), F.col("start") + F.floor((F.col("ordinal") - F.col("first")) / F.col("each"))).alias("container"),
-        )
+    cells = F.explode(F.sequence(F.floor(F.col("first") / CELL), F.floor(F.col("last") / CELL)))
+    ranges = plan.select("profile", "piece_size", cells.alias("cell"), F.struct("first", "each", "start").alias("range")).withColumn("ordinal", F.greatest(F.col("range.first"), F.col("cell") * CELL))
+    numbered = running_total(rest, ["profile", "piece_size"], ["id"], F.lit(1), "ordinal", bucket_count(total)).withColumn("cell", F.floor(F.col("ordinal") / CELL))
+    by = Window.partitionBy("profile", "piece_size", "cell").orderBy("ordinal", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = numbered.unionByName(ranges, allowMissingColumns=True).withColumn("range", F.last("range", ignorenulls=True).over(by)).where("id is not null")
+    placed = met.select(
+        "profile", "capacity", "id", "piece_no", "piece_size", (F.col("piece_no") > 0).alias("oversized"),
+        F.concat(F.lit("c"), F.col("range.start") + F.floor((F.col("ordinal") - F.col("range.first")) / F.col("range.each"))).alias("container"),
     )
     full = sizes.where("size >= capacity").select(
         "profile", "capacity", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / F.col("capacity")) - 1)).alias("piece_no"),
@@ -158,3 +164,18 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder)
+
+
+def p8_proof(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for the containers of each profile: texts and tokens packed, texts whose pieces do not add up to their size or are packed twice, containers over the capacity, and whether no more than 1 % (and one) container above the least possible number is used."""
+    sizes = table(spark, folder, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), token_size(F.col("text")).alias("size")).where("size is not null")
+    packed = stage(_packed(spark, folder))
+    texts = packed.groupBy("profile", "id").agg(F.sum("piece_size").alias("packed"), F.count("*").alias("pieces"), F.max("piece_no").alias("last"))
+    per = texts.join(sizes, "id", "left").groupBy("profile").agg(
+        F.count("*").alias("n_texts"), F.sum("packed").alias("n_tokens"), F.sum((~F.col("packed").eqNullSafe(F.col("size")) | (F.col("last") != F.col("pieces") - 1)).cast("int")).alias("wrong_texts"),
+    )
+    boxes = packed.groupBy("profile", "capacity", "container").agg(F.sum("piece_size").alias("filled")).groupBy("profile", "capacity").agg(
+        F.count("*").alias("n_boxes"), F.sum((F.col("filled") > F.col("capacity")).cast("int")).alias("over_capacity"), F.sum("filled").alias("filled"),
+    )
+    least = F.ceil(F.col("filled") / F.col("capacity"))
+    return per.join(boxes, "profile").select("profile", "n_texts", "n_tokens", "wrong_texts", "over_capacity", (F.col("n_boxes") <= 1.01 * least + 1).alias("tight"))
