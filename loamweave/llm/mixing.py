@@ -2,39 +2,45 @@
 
 Each source of a mix delivers blocks of a fixed number of tokens. Its weight gives block
 j the release time floor(j / w) and the deadline ceil((j + 1) / w); of the released
-blocks the one with the earliest deadline comes next (Pfair). With weights in steps of
-1 / ``SLOTS`` the schedule repeats after ``SLOTS`` slots, so one period is laid out on
-the driver and every block finds its place by arithmetic. At any slot a source is less
-than one block away from its share, until it runs out of repeats.
+blocks the one with the earliest deadline comes next (Pfair). Weights are exact
+fractions, so the schedule repeats after their common denominator; one period is laid
+out on the driver and every block finds its place by arithmetic. At any slot a source is
+less than one block away from its share, until it runs out of repeats. Documents are not
+cut: one belongs to the block it starts in, so in tokens a source is less than one block
+behind and less than one block and its longest document ahead.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamweave.llm.sizes import source_name, token_size
-from loamweave.operators.stage import bucket_count, running_total, stage
+from loamweave.operators.stage import bucket_count, ordered_total, running_total, stage
 from loamweave.sources.tables import table
 
-SLOTS = 1000
+#: Slots of a period, at most; only weights without a common denominator up to it are rounded, by less than 1/SLOTS.
+SLOTS = 1_000_000
 BLOCK_TOKENS = 4096
 
 
-def pfair_period(weights: dict[str, float], slots: int = SLOTS) -> dict[str, list[int]]:
-    """Slots of one period for each source; weights are rounded to 1/slots by largest remainder and fill the period.
+def pfair_period(weights: dict[str, float], most: int = SLOTS) -> dict[str, list[int]]:
+    """Slots of one period for each source: as many as the weights' least common denominator.
 
-    A positive weight has one slot at least; with many sources the period is ten slots a
-    source. No positive weight, no slots.
+    Weights whose denominator would exceed ``most`` are rounded to 1/most by largest
+    remainder. A positive weight has one slot at least. No positive weight, no slots.
     """
-    weights = {s: max(0.0, w) for s, w in weights.items()}
-    slots = max(slots, 10 * len(weights))
-    total = sum(weights.values())
+    parts = {s: Fraction(max(0.0, w)).limit_denominator(most) for s, w in weights.items()}
+    parts = {s: p or Fraction(weights[s] > 0, most) for s, p in parts.items()}
+    total = sum(parts.values())
     if total <= 0:
         return {s: [] for s in weights}
-    exact = {s: w / total * slots for s, w in weights.items()}
+    slots = max(len(weights), min(most, math.lcm(*((p / total).denominator for p in parts.values()))))
+    exact = {s: p / total * slots for s, p in parts.items()}
     n = {s: int(x) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: (n[s] - exact[s], s))[: slots - sum(n.values())]:
         n[s] += 1
@@ -109,7 +115,7 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
     return copies.join(periods, ["mix", "source"]).select(
         "mix", "source", "id", "copy_no", "size", "block_no",
         (F.floor(F.col("block_no") / F.col("per_period")) * F.col("period") + F.element_at("at", (F.col("block_no") % F.col("per_period") + 1).cast("int"))).alias("slot"),
-        "target_share", "max_repeats", "wanted_tokens", "allowed_tokens",
+        "target_share", "max_repeats", "wanted_tokens", "allowed_tokens", (F.col("per_period") / F.col("period")).alias("slot_share"),
     )
 
 
@@ -145,3 +151,22 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_order(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[0].select("mix", "slot", "source", "block_no", "id", "copy_no", "size")
+
+
+def deviations(mixed: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(mix, source, ahead, behind, longest) of a mixed order: the most tokens by which a source was ahead of and behind its share after any slot before its end, and its longest document.
+
+    Between a source's own slots it only falls behind evenly, so it is measured right
+    before and after each of them.
+    """
+    per = mixed.groupBy("mix", "source", "slot").agg(F.sum("size").alias("tokens"), F.max("size").alias("longest"), F.first("slot_share").alias("share"))
+    summed = ordered_total(per, ["mix", "source"], "slot", F.col("tokens"), "before")
+    ahead = F.col("before") + F.col("tokens") - F.col("share") * (F.col("slot") + 1) * block_tokens
+    behind = F.col("share") * F.col("slot") * block_tokens - F.col("before")
+    return summed.groupBy("mix", "source").agg(F.max(ahead).alias("ahead"), F.max(behind).alias("behind"), F.max("longest").alias("longest"))
+
+
+def p9_deviation(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source stays, in the tokens of the order, less than one block behind and less than one block and one document ahead of its share."""
+    got = deviations(_mixed(spark, folder)[0])
+    return got.select("mix", "source", ((F.col("behind") < BLOCK_TOKENS) & (F.col("ahead") < BLOCK_TOKENS + F.col("longest"))).alias("within"))
