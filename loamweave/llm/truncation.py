@@ -36,10 +36,10 @@ _TOKEN = re.compile(r"[぀-ヿ一-鿿]|[^\W\d_]+|\d+|[^\w\s]")
 
 
 def shape_of(line: Column) -> Column:
-    """A short last line with digits, capitalised and other words replaced; null for a long line."""
+    """Hash of a last line of any length with digits, capitalised and other words replaced; null for a blank line, an item and the end of a sentence."""
     s = F.regexp_replace(F.trim(line), r"\d+", "9")
-    s = F.regexp_replace(s, r"\p{Lu}\p{Ll}+", "X")
-    return F.when(F.length(F.trim(line)).between(1, 60), F.regexp_replace(s, r"\p{Ll}{2,}", "w"))
+    s = F.regexp_replace(F.regexp_replace(s, r"\p{Lu}\p{Ll}+", "X"), r"\p{Ll}{2,}", "w")
+    return F.when((s != "") & ~s.rlike(r"^[-*+•|`]\s|[.!?。！？]$"), F.xxhash64(s))
 
 
 def _stripped(text: Column) -> Column:
@@ -77,7 +77,7 @@ def endings(docs: DataFrame) -> DataFrame:
     everywhere = shapes.groupBy("shape").agg(F.sum("n_shape").alias("n_everywhere"))
     footers = (
         shapes.join(whole, "source").join(everywhere, "shape")
-        .where((F.col("n_shape") >= FOOTER_LEAST) & (F.col("n_shape") >= FOOTER_SHARE * F.col("n_source")) & (F.col("n_everywhere") <= 2 * F.col("n_shape")) & ~F.col("shape").rlike(r"^[-*+•|`]\s|[.!?。！？]$"))
+        .where((F.col("n_shape") >= FOOTER_LEAST) & (F.col("n_shape") >= FOOTER_SHARE * F.col("n_source")) & (F.col("n_everywhere") <= 2 * F.col("n_shape")))
         .select("source", "shape", F.lit(True).alias("footer"))
     )
     footers = footers.unionByName(footers.withColumn("source", F.lit(""))).distinct()  # also where the source is not known
