@@ -1,11 +1,13 @@
 """Repair of text from scanned pages: furniture, broken words, misread characters.
 
 Words no clean text has are candidates for misreadings. Their corrections are retrieved
-by a join of character q-grams with the words of clean texts and ranked by gradient-
-boosted trees, trained on clean words that were misread on purpose. A classifier over
-pairs of lines, trained on lines that repeat within a text, finds running headers and
-page numbers; another, trained on clean words and compounds broken on purpose, tells
-words broken to fit the line from compounds broken at their own hyphen.
+by a join of character q-grams with the words of clean texts. Which characters are misread
+as which is learned from the words that have one nearest clean word only; with these
+confusions gradient-boosted trees, trained on clean words that were misread on purpose,
+rank the corrections. A classifier over pairs of lines, trained on lines that repeat
+within a text and on numbers that count up through it, finds running headers and page
+numbers; another, trained on clean words and compounds broken on purpose, tells words
+broken to fit the line from compounds broken at their own hyphen.
 """
 
 from __future__ import annotations
@@ -20,23 +22,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamweave.llm.boosting import Boosting
 from loamweave.llm.truncation import Regression
 from loamweave.operators.stage import stage
 from loamweave.sources.tables import table
 
-#: Scanned texts the line classifier is trained on, and clean words for the others, at most.
-TEXT_SAMPLE, WORD_SAMPLE = 400, 4000
-#: Characters and what they are often misread as.
-MISREADINGS = (
-    "e c", "t f", "o 0", "i l", "i !", "s 5", "l 1", "u ii", "g q", "d cl", "m rn", "h li", "b 6", "v y",
-    "rn m", "nn im", "n ri", "w vv", "fi ﬁ", "fl ﬂ", "é c", "B 8", "S 5", "O 0", "I l", "I 1", "l i", "c e", "a o", "cl d", "l !", "i 1",
-)
-_PAIRS = tuple(tuple(p.split()) for p in MISREADINGS)
+#: Scanned texts the line classifier is trained on, clean words for the classifiers of words, and those misread on purpose, at most.
+TEXT_SAMPLE, WORD_SAMPLE, MISREAD_SAMPLE = 400, 4000, 1500
+#: Confusions of characters kept, at most, and the least share of all words aligned that have one.
+CONFUSIONS, CONFUSION_SHARE = 200, 0.001
 HYPHENS = "-­¬‐"
-_LATIN_WORD = re.compile(r"[^\W\d_][\w!|'’ﬁﬂ]*[^\W_]|[^\W\d_]+", re.U)
-_PAGE = re.compile(r"^\W*(?:(?:page|pag|pág|seite|s|p|página|blatt|sheet)\b\W*)?\d{1,4}(?:\s*(?:/|of|von|de|sur)\s*\d{1,4})?[\s\-–—\])|~]*$", re.I)
+_LATIN_WORD = re.compile(r"[^\W\d_][\w!|ﬁﬂ]*[^\W_]|[^\W\d_]+", re.U)
+#: A line that may be a page number: one or two numbers, a word before and a short one between, and signs that end no sentence.
+_PAGE = re.compile(r"^\W*(?:[^\W\d_]+\W+)?(\d{1,4})(?:\W*(?:\b[^\W\d_]{1,4}\b)?\W*\d{1,4})?[^\w.!?,;:%°]*$")
 _BARE = re.compile(r"^\s*\d+\s*$")
 _PLACEHOLDER = re.compile(r"^\s*(?:\{\{|!\[|<img)|^\s*\[\[")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
@@ -63,8 +63,16 @@ def _folded(line: str) -> str:
     return re.sub(r"[^a-z]", "", unicodedata.normalize("NFKD", line.lower()).replace("rn", "m").replace("ii", "u").replace("cl", "d").translate(str.maketrans("0156!lfqcy", "oisbiitgev")))
 
 
+def _hashed(token: str) -> int:
+    return zlib.crc32(token.encode()) >> 16
+
+
+#: In the place of how often a line repeats: not to be looked at.
+UNSEEN = _hashed("repeats=?")
+
+
 def line_features(lines: list[str]) -> tuple[list[int], list[list[int]], list[int]]:
-    """Numbers of the non-empty lines, their hashed features, and how often each repeats in the text."""
+    """Numbers of the non-empty lines, their hashed features, of which the last is how often it repeats, and how often each repeats in the text."""
     real = [i for i, x in enumerate(lines) if x.strip()]
     width = max((len(lines[i].strip()) for i in real), default=1)
     folds = Counter(_folded(lines[i]) for i in real)
@@ -86,17 +94,38 @@ def line_features(lines: list[str]) -> tuple[list[int], list[list[int]], list[in
             f"near={near}|{number}|{bare}", f"title={sum(w[0].isupper() or not w[0].isalpha() for w in x.split()) * 4 // max(1, len(x.split()))}|{x[-1:] in '.!?,;'}", f"code={bool(re.search(r'[A-Z][0-9]{4,}', x))}|{len(x.split()) < 6}",
             f"number={number}",
         ]
-        rows.append([zlib.crc32(t.encode()) >> 16 for t in tokens])
         repeats.append(folds[fold] if len(fold) > 4 else 0)
+        rows.append([_hashed(t) for t in (*tokens, f"repeats={min(repeats[-1], 4)}|{len(x.split()) <= 9}")])
     return real, rows, repeats
 
 
+def counting(lines: list[str]) -> dict[int, bool]:
+    """Lines that may be page numbers, by index: whether they are one of at least two of one shape that count up by one through the text; others of a shape that repeats do not. Shapes met once are left out."""
+    shapes: dict[str, list[int]] = {}
+    for i, line in enumerate(lines):
+        if m := _PAGE.match(line.strip()):
+            shapes.setdefault(re.sub(r"\d+", "9", line.strip().lower()), []).append(i)
+    out = {}
+    for at in shapes.values():
+        numbers = {i: int(_PAGE.match(lines[i].strip())[1]) for i in at}
+        if len(at) > 1:
+            steps = _in_step(numbers, at)
+            up = numbers[steps[1]] == numbers[steps[0]] + 1
+            out.update({i: up and i in steps for i in at})
+    return out
+
+
 def train_furniture(texts: list[str]) -> Regression:
-    """Positives: short lines that repeat in their text, and marked page numbers. Negatives: lines of running text, columns of numbers, headings."""
+    """Positives: short lines that repeat in their text, and numbers that count up through it. Negatives: lines of running text, columns of numbers, headings.
+
+    Every line is shown twice, with and without how often it repeats, so that lines that
+    repeat are known by that and others by what repeated lines look like.
+    """
     rows, target = [], []
     for text in texts:
         lines = text.replace("\r", "").split("\n")
         real, feats, repeats = line_features(lines)
+        counts = counting(lines)
         width = max((len(lines[i].strip()) for i in real), default=1)
         for k, i in enumerate(real):
             x = lines[i].strip()
@@ -104,10 +133,14 @@ def train_furniture(texts: list[str]) -> Regression:
             after = lines[real[k + 1]].strip() if k + 1 < len(real) else ""
             if _PAGE.match(x):
                 column = _BARE.match(x) and (_BARE.match(before) or _BARE.match(after) or before[-1:] == ":")
-                label = 0.0 if column else 1.0
+                if i not in counts and not column:
+                    continue
+                label = 0.0 if column or not counts[i] else 1.0
             elif _PLACEHOLDER.match(x) or x[-1:] == ":":
                 label = 0.0
             elif repeats[k] > 1 and len(x.split()) <= 9 and x[-1:] not in ".!?,":
+                if repeats[k] == 2 and after[:1].islower():
+                    continue  # a sentence met twice
                 label = 1.0
             elif len(x) > 0.75 * width and repeats[k] == 1:
                 label = 0.0
@@ -115,8 +148,8 @@ def train_furniture(texts: list[str]) -> Regression:
                 label = 0.0
             else:
                 continue
-            rows.append(feats[k])
-            target.append(label)
+            rows += [feats[k], [*feats[k][:-1], UNSEEN]]
+            target += [label, label]
     return Regression().fit(np.array(rows), np.array(target), rounds=8) if rows else Regression()
 
 
@@ -125,15 +158,15 @@ def furniture(lines: list[str], model: Regression) -> dict[int, str]:
     real, feats, repeats = line_features(lines)
     if not real:
         return {}
-    score = model.scores(np.array(feats))
+    seen = np.array(feats)
+    unseen = seen.copy()
+    unseen[:, -1] = UNSEEN
+    score = np.maximum(model.scores(seen), model.scores(unseen))
     out = {}
     for k, i in enumerate(real):
         x = lines[i].strip()
-        if _PAGE.match(x):
-            if score[k] >= 0.5:
-                out[i] = "page_number"
-        elif not _PLACEHOLDER.match(x) and x[-1:] not in ":.!?," and not x[:1].islower() and (score[k] >= 0.5 or repeats[k] > 2 and len(x.split()) <= 9):
-            out[i] = "header"
+        if score[k] >= 0.5 and not _PLACEHOLDER.match(x):
+            out[i] = "page_number" if _PAGE.match(x) else "header"
     pages = [i for i, noise in out.items() if noise == "page_number"]
     bare = [i for i in pages if _BARE.match(lines[i])]
     for i in set(bare) - set(_in_step(lines, bare) if len(bare) == len(pages) else []):
@@ -141,7 +174,7 @@ def furniture(lines: list[str], model: Regression) -> dict[int, str]:
     return out
 
 
-def _in_step(lines: list[str], bare: list[int]) -> list[int]:
+def _in_step(lines: list[str] | dict[int, int], bare: list[int]) -> list[int]:
     """The longest row of bare numbers that count up by one; all of them where no two do."""
     best: dict[int, list[int]] = {}
     for i in bare:
@@ -165,18 +198,39 @@ def breaks(lines: list[str], out: dict[int, str]) -> list[tuple[int, int, str, s
     return found
 
 
-_BY_END: dict[str, list[tuple[str, str]]] = {}
-for _true, _seen in sorted({(t.lower(), x.lower()) for t, x in _PAIRS if t.lower() != x.lower()}):
-    _BY_END.setdefault(_seen[-1], []).append((_true, _seen))
+def difference(read: str, word: str) -> tuple[str, str] | None:
+    """(true, seen): what is left of both without their common beginning and end, with a neighbour where one is empty; None if longer than three characters."""
+    a = 0
+    while a < min(len(read), len(word)) and read[a] == word[a]:
+        a += 1
+    b = 0
+    while b < min(len(read), len(word)) - a and read[-1 - b] == word[-1 - b]:
+        b += 1
+    true, seen = word[a : len(word) - b], read[a : len(read) - b]
+    if not true or not seen:
+        if not a:
+            return None
+        true, seen = word[a - 1] + true, read[a - 1] + seen
+    return (true, seen) if len(true) <= 3 and len(seen) <= 3 else None
+
+
+class Confusions:
+    """Characters and what they are misread as."""
 
+    def __init__(self, pairs: list[tuple[str, str]]) -> None:
+        self.pairs = sorted(set(pairs))
+        self.by_end: dict[str, list[tuple[str, str]]] = {}
+        for true, seen in self.pairs:
+            self.by_end.setdefault(seen[-1], []).append((true, seen))
 
-def distance(read: str, word: str) -> float:
-    """Edit distance in which a listed misreading costs 0.2."""
+
+def distance(read: str, word: str, known: Confusions) -> float:
+    """Edit distance in which a known confusion costs 0.2."""
     table_ = [[float(j) for j in range(len(word) + 1)]]
     for i, c in enumerate(read, 1):
         above = table_[-1]
         row = [float(i)]
-        options = [(t, x) for t, x in _BY_END.get(c, ()) if read.endswith(x, 0, i)]
+        options = [(t, x) for t, x in known.by_end.get(c, ()) if read.endswith(x, 0, i)]
         for j, d in enumerate(word, 1):
             best = min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (c != d))
             for t, x in options:
@@ -187,18 +241,18 @@ def distance(read: str, word: str) -> float:
     return table_[-1][-1]
 
 
-def pair_features(read: str, word: str, n_word: int, edits: int, capital: bool) -> list[float]:
+def pair_features(read: str, word: str, n_word: int, edits: int, capital: bool, known: Confusions) -> list[float]:
     a, b = ({f"^{w}$"[i : i + 2] for i in range(len(w) + 1)} for w in (read, word))
     return [
-        distance(read, word), edits, np.log1p(n_word), len(read), len(word) - len(read), float(not read.isalpha()), float(capital),
+        distance(read, word, known), edits, np.log1p(n_word), len(read), len(word) - len(read), float(not read.isalpha()), float(capital),
         2 * len(a & b) / max(1, len(a) + len(b)), float(read[:1] == word[:1]), float(read[-1:] == word[-1:]),
     ]
 
 
-def train_ranker(words: list[tuple[str, int]], seed: int = 9) -> Boosting:
-    """Trained on clean words (word, count): misread ones with their true word, against other near words and unharmed words."""
+def train_ranker(words: list[tuple[str, int]], known: Confusions, seed: int = 9) -> Boosting:
+    """Trained on clean words (word, count): those misread by known confusions with their true word, against other near words and unharmed words."""
     rng = random.Random(seed)
-    words = [(w, n) for w, n in words if len(w) >= 3]
+    words = [(w, n) for w, n in words if len(w) >= 2]
     grams: dict[str, list[int]] = {}
     for i, (w, _) in enumerate(words):
         for g in {f"^{w}$"[k : k + 2] for k in range(len(w) + 1)}:
@@ -209,20 +263,20 @@ def train_ranker(words: list[tuple[str, int]], seed: int = 9) -> Boosting:
         return [i for i, _ in shared.most_common(most + 1) if words[i][0] != w][:most]
 
     x, y = [], []
-    for w, n in words[:1500]:
+    for w, n in words[:MISREAD_SAMPLE]:
         capital = rng.random() < 0.3
         read = w
         for _ in range(1 + (rng.random() < 0.15)):
-            options = [(m.start(), t, s) for t, s in _PAIRS if s.lower() != t.lower() for m in re.finditer(re.escape(t.lower()), read)]
+            options = [(m.start(), t, s) for t, s in known.pairs for m in re.finditer(re.escape(t), read)]
             if options:
                 at, t, s = rng.choice(options)
-                read = read[:at] + s.lower() + read[at + len(t) :]
+                read = read[:at] + s + read[at + len(t) :]
         if read != w:
-            x.append(pair_features(read, w, n, _edits(read, w), capital))
+            x.append(pair_features(read, w, n, _edits(read, w), capital, known))
             y.append(1.0)
             for i in near(read):
                 if words[i][0] != w:
-                    x.append(pair_features(read, words[i][0], words[i][1], _edits(read, words[i][0]), capital))
+                    x.append(pair_features(read, words[i][0], words[i][1], _edits(read, words[i][0]), capital, known))
                     y.append(0.0)
         letters = list(w)
         for _ in range(rng.randint(1, 2)):  # another word that only looks alike
@@ -230,10 +284,10 @@ def train_ranker(words: list[tuple[str, int]], seed: int = 9) -> Boosting:
         other = "".join(letters)
         for q in (w, other):
             for i in [*near(q, 2)]:
-                x.append(pair_features(q, words[i][0], words[i][1], _edits(q, words[i][0]), rng.random() < 0.6))
+                x.append(pair_features(q, words[i][0], words[i][1], _edits(q, words[i][0]), rng.random() < 0.6, known))
                 y.append(0.0)
-        if other != w and distance(other, w) >= 0.9:
-            x.append(pair_features(other, w, n, _edits(other, w), rng.random() < 0.6))
+        if other != w and distance(other, w, known) >= 0.9:
+            x.append(pair_features(other, w, n, _edits(other, w), rng.random() < 0.6, known))
             y.append(0.0)
     return Boosting().fit(np.array(x), np.array(y)) if x else Boosting(trees=0).fit(np.zeros((2, 10)), np.zeros(2))
 
@@ -277,51 +331,84 @@ def train_joins(words: list[tuple[str, int]], seed: int = 13) -> Boosting:
 
 def clean_words(texts: DataFrame) -> DataFrame:
     """(word, n_clean) of clean texts in lower case: words, compounds with hyphens, and their parts."""
-    tokens = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\-]+")).alias("token")).select(F.regexp_replace("token", r"^-+|-+$", "").alias("token")).where(F.length("token").between(1, 40))
+    tokens = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\-]+")).alias("token")).select(F.regexp_replace("token", r"^-+|-+$", "").alias("token")).where("token != ''")
     counted = tokens.groupBy("token").agg(F.count("*").alias("n"))
     parts = counted.where("token like '%-%'").select(F.explode(F.split("token", "-")).alias("token"), "n").where("token != ''")
     return counted.unionByName(parts).groupBy(F.col("token").alias("word")).agg(F.sum("n").alias("n_clean"))
 
 
-def _grams(word: Column) -> Column:
-    """(size, gram) keys: trigrams of words of seven letters and more, else bigrams."""
-    padded = F.concat(F.lit("^"), word, F.lit("$"))
-    size = F.when(F.length(word) >= 8, 3).otherwise(2)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - size + 1), lambda i: F.substring(padded, i, size)))
+def _edits_allowed(read: Column) -> Column:
+    """Two edits in words of up to four letters, else three, and more in words of over 19."""
+    return F.when(F.length(read) <= 4, 2).otherwise(F.greatest(F.lit(3), F.floor(F.length(read) / 5).cast("int")))
 
 
-def corrections(unknown: DataFrame, words: DataFrame, ranker) -> DataFrame:
-    """(read, word, score): the best correction of each unknown word, by a q-gram join.
+def _rare_grams(words: DataFrame, name: str, seen: DataFrame, allowed: Column) -> DataFrame:
+    """(columns of words, gram): as many of the rarest bigrams of each word as edits can spoil, and one more.
 
-    unknown: (read, capital); words: (word, n_clean). Lengths may differ by up to two,
-    a shared q-gram is needed and at most two edits. Both sides are distinct words.
+    An edit spoils two bigrams at most, so two words within the allowed edits share one of
+    these wherever they must share any.
     """
-    near = F.explode(F.sequence(F.greatest(F.length("read") - 2, F.lit(2)), F.length("read") + 1)).alias("len")
-    left = unknown.select("read", "capital", F.explode(_grams(F.col("read"))).alias("gram")).select("read", "capital", "gram", near)
-    known = words.where((F.length("word") >= 2) & (F.col("n_clean") >= 2) & ~F.col("word").contains("-"))
-    keyed = known.select("word", "n_clean", F.length("word").alias("len"), F.explode(F.array_union(_grams(F.col("word")), F.when(F.length("word").isin(7, 8), _both("word")).otherwise(F.array().cast("array<string>")))).alias("gram"))
-    pairs = (
-        left.join(keyed, ["len", "gram"]).groupBy("read", "word").agg(F.count("*").alias("shared"), F.first("capital").alias("capital"), F.first("n_clean").alias("n_clean"))
-        .where(F.col("shared") >= F.when(F.length("read") >= 8, F.length("read") - 7).otherwise(F.greatest(F.length("read") - 4, F.lit(1))))
-        .withColumn("edits", F.levenshtein("read", "word", 3)).where("edits between 1 and 3 and read != word")
-        .where(F.col("edits") <= F.when(F.length("read") <= 4, 2).otherwise(3))
-    )
+    padded = F.concat(F.lit("^"), F.col(name), F.lit("$"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, 2)))
+    by = Window.partitionBy(name).orderBy("n_gram", "gram")
+    rows = words.withColumn("gram", F.explode(grams)).join(seen, "gram").withColumn("nth", F.row_number().over(by))
+    return rows.where(F.col("nth") <= 2 * allowed + 1).drop("nth", "n_gram")
 
-    def rank(batches):
-        model = ranker.value
+
+def near_words(unknown: DataFrame, words: DataFrame) -> DataFrame:
+    """(read, capital, n_read, word, n_clean, edits) of unknown words and clean words within the allowed edits, by a join of rare q-grams.
+
+    unknown: (read, capital, n_read); words: (word, n_clean), of which those met twice and without
+    a hyphen count. Both sides are distinct words. A pair is verified where it is met,
+    before anything is shuffled again.
+    """
+    known = words.where((F.length("word") >= 2) & (F.col("n_clean") >= 2) & ~F.col("word").contains("-")).select("word", "n_clean")
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    seen = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, 2))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_gram"))
+    most = F.greatest(_edits_allowed(F.col("word")), _edits_allowed(F.concat("word", F.lit("xx"))))  # of any word it may be read as
+    right = _rare_grams(known, "word", seen, most).withColumn("len", F.length("word"))
+    left = _rare_grams(unknown, "read", seen, _edits_allowed(F.col("read")))
+    reach = F.greatest(F.lit(2), F.floor(F.length("read") / 8).cast("int"))
+    left = left.withColumn("len", F.explode(F.sequence(F.greatest(F.length("read") - reach, F.lit(2)), F.length("read") + reach)))
+    met = left.join(right, ["len", "gram"]).where("read != word").withColumn("edits", F.levenshtein("read", "word"))
+    return met.where(F.col("edits") <= _edits_allowed(F.col("read"))).groupBy("read", "word").agg(F.first("capital").alias("capital"), F.first("n_read").alias("n_read"), F.first("n_clean").alias("n_clean"), F.first("edits").alias("edits"))
+
+
+def learn_confusions(near: DataFrame) -> Confusions:
+    """What unknown words with one nearest clean word differ in, as often as it is met; at most ``CONFUSIONS`` of at least ``CONFUSION_SHARE``.
+
+    Words only met with a capital are mostly names, and words of up to four letters are
+    near to others by chance: both teach nothing, nor do characters that are merely added
+    or lost.
+    """
+
+    def run(batches):
         for pdf in batches:
-            x = [pair_features(*r) for r in zip(pdf["read"], pdf["word"], pdf["n_clean"], pdf["edits"], pdf["capital"])]
-            yield pd.DataFrame({"read": pdf["read"], "word": pdf["word"], "score": model.scores(np.array(x).reshape(len(x), 10))})
+            found = [(*d, n) for r, w, n in zip(pdf["read"], pdf["word"], pdf["n_read"]) if (d := difference(r, w)) and d[0] not in d[1] and d[1] not in d[0]]
+            yield pd.DataFrame({"true": [f[0] for f in found], "seen": [f[1] for f in found], "n": [f[2] for f in found]})
 
-    scored = pairs.mapInPandas(rank, "read string, word string, score double")
-    return scored.groupBy("read").agg(F.max(F.struct("score", "word")).alias("best")).select("read", "best.word", "best.score").where("score >= 0.5")
+    only = near.where("edits <= 2 and not capital and length(read) > 4").groupBy("read", "n_read", "edits").agg(F.count("*").alias("n"), F.first("word").alias("word")).groupBy("read", "n_read").agg(F.min(F.struct("edits", "n", "word")).alias("m")).where("m.n = 1")
+    counts = only.select("read", "m.word", "n_read").mapInPandas(run, "true string, seen string, n long").groupBy("true", "seen").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    kept = counts.where(F.col("n") >= CONFUSION_SHARE * total).orderBy(F.desc("n"), "true", "seen").limit(CONFUSIONS).collect()
+    return Confusions([(r["true"], r["seen"]) for r in kept])
 
 
-def _both(name: str) -> Column:
-    """Keys of the other size for lengths at the border, which meet both sizes."""
-    padded = F.concat(F.lit("^"), F.col(name), F.lit("$"))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, n))
-    return F.array_union(of(2), of(3))
+def corrections(near: DataFrame, ranker) -> DataFrame:
+    """(read, word, score): the best correction of each unknown word of ``near_words``, by the broadcast (ranker, confusions).
+
+    Any two words of two letters are near, so there known confusions have to explain the difference.
+    """
+
+    def rank(batches):
+        model, known = ranker.value
+        for pdf in batches:
+            x = np.array([pair_features(*r, known) for r in zip(pdf["read"], pdf["word"], pdf["n_clean"], pdf["edits"], pdf["capital"])]).reshape(len(pdf), 10)
+            explained = (x[:, 3] > 2) | (x[:, 0] < 1)
+            yield pd.DataFrame({"read": pdf["read"], "word": pdf["word"], "score": np.where(explained, model.scores(x), 0.0)})
+
+    scored = near.mapInPandas(rank, "read string, word string, score double")
+    return scored.groupBy("read").agg(F.max(F.struct("score", "word")).alias("best")).select("read", "best.word", "best.score").where("score >= 0.5")
 
 
 def _words_of(line: str) -> list[str]:
@@ -344,7 +431,6 @@ def scan_noise(texts: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame
     vocabulary = [tuple(r) for r in words.where("n_clean >= 2").orderBy(F.xxhash64("word"), "word").limit(WORD_SAMPLE).collect()]
     weights = spark.sparkContext.broadcast(train_furniture([r[0] for r in drawn]).weights)
     joiner = spark.sparkContext.broadcast(train_joins(vocabulary))
-    ranker = spark.sparkContext.broadcast(train_ranker(vocabulary))
 
     def analyse(batches):
         model = Regression()
@@ -366,7 +452,7 @@ def scan_noise(texts: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame
                         body = body[len(starts[i]) :]
                     if i in ends:
                         body = body[: len(body) - len(ends[i]) - 1]
-                    rows += [(src, key, i + 1, "word", w, "", "", w[0].isupper()) for w in set(_words_of(body)) if len(w) > 2]
+                    rows += [(src, key, i + 1, "word", w, "", "", w[0].isupper()) for w in set(_words_of(body)) if len(w) > 1]
             yield pd.DataFrame(rows, columns=["src_table", "rec_key", "line_no", "kind", "a", "b", "mark", "capital"])
 
     found = stage(scanned.mapInPandas(analyse, "src_table string, rec_key string, line_no int, kind string, a string, b string, mark string, capital boolean"))
@@ -383,7 +469,7 @@ def scan_noise(texts: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame
         for pdf in batches:
             x = [join_features(*r) for r in zip(pdf["n_joined"], pdf["n_compound"], pdf["n_left"], pdf["n_right"], pdf["a"], pdf["b"], pdf["mark"])]
             s = joiner.value.scores(np.array(x).reshape(len(x), 9))
-            yield pdf[["src_table", "rec_key", "line_no", "a", "b"]].assign(broken=(s >= 0.5) | (pdf["mark"] != "-").to_numpy())
+            yield pdf[["src_table", "rec_key", "line_no", "a", "b"]].assign(broken=s >= 0.5)
 
     judged = stage(cuts.join(counts, "at", "left").fillna(0, [f"n_{r}" for r in ("joined", "compound", "left", "right")]).mapInPandas(
         judge, "src_table string, rec_key string, line_no int, a string, b string, broken boolean"))
@@ -393,9 +479,11 @@ def scan_noise(texts: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame
         .unionByName(judged.where("not broken").select("src_table", "rec_key", "line_no", F.explode(F.array("a", "b")).alias("was"), F.lit(False).alias("capital"), F.lit(0).alias("split")))
         .withColumn("read", F.lower("was"))
     )
-    plain = F.length("read").between(3, 30) & (F.length(F.regexp_replace("read", r"[^\p{L}]", "")) >= 2) & ~F.col("read").rlike(r"^\p{L}\d+$")
-    unknown = tokens.where(plain).groupBy("read").agg(F.min("capital").alias("capital")).join(words.where("n_clean >= 2").select(F.col("word").alias("read")), "read", "left_anti")
-    fixes = corrections(unknown, words, ranker)
+    plain = (F.length(F.regexp_replace("read", r"[^\p{L}]", "")) >= 2) & ~F.col("read").rlike(r"^\p{L}\d+$")
+    unknown = tokens.where(plain).groupBy("read").agg(F.min("capital").alias("capital"), F.count("*").alias("n_read")).join(words.where("n_clean >= 2").select(F.col("word").alias("read")), "read", "left_anti")
+    near = stage(near_words(unknown, words))
+    known = learn_confusions(near)
+    fixes = corrections(near, spark.sparkContext.broadcast((train_ranker(vocabulary, known), known)))
     same = F.length(F.regexp_extract(F.concat_ws("\n", "read", "word"), r"^(.*)[^\n]*\n\1", 1))
     misread = tokens.join(fixes, "read").select(
         "src_table", "rec_key", (F.col("line_no") + F.when((F.col("split") > 0) & (same >= F.col("split")), 1).otherwise(0)).cast("int").alias("line_no"), F.lit("misread").alias("noise"), "was", F.col("word").alias("becomes"),
