@@ -30,5 +30,7 @@ def edge_ends(a: Column, b: Column) -> list[Column]:
 
 
 def set_fingerprint(row: Column) -> Column:
-    """Aggregate over rows that does not depend on their order and needs one number of state."""
-    return F.hex(F.bit_xor(F.xxhash64(row)))
+    """Aggregate over rows that does not depend on their order: how many there are, the sum and the exclusive or of their hashes, so rows that repeat change it too."""
+    hashed = F.xxhash64(row)
+    total = F.sum(hashed.cast("decimal(38,0)")).cast("string")
+    return F.concat_ws("-", F.count(row).cast("string"), F.hex(F.bit_xor(hashed)), total)

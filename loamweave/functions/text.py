@@ -40,8 +40,8 @@ def identifiers(text: Column) -> Column:
 
 
 def cjk_bigrams(text: Column) -> Column:
-    """Pairs of neighbouring characters of each run of Chinese characters; a run of one gives itself."""
-    pairs = lambda run: F.when(F.length(run) < 2, F.array(run)).otherwise(
+    """Pairs of neighbouring characters of each run of Chinese characters; a run of one gives nothing."""
+    pairs = lambda run: F.when(F.length(run) < 2, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, 2))
     )
     return F.flatten(F.transform(found(text, CJK_RUN), pairs))
@@ -54,6 +54,12 @@ def fts_terms(text: Column, lexicon: list[str] | None = None) -> Column:
     return F.array_sort(F.array_distinct(F.concat(words, found(text, IDENTIFIER), subwords, cjk_bigrams(text))))
 
 
+def unicode_terms(text: Column) -> Column:
+    """Lower-case words of letters and digits of any script, Chinese characters in pairs; repeats stay."""
+    plain = F.lower(F.regexp_replace(text, CJK_RUN, " "))
+    return F.concat(found(plain, r"[\p{L}\p{N}_]+"), cjk_bigrams(text))
+
+
 def search_text(text: Column, lexicon: list[str] | None = None) -> Column:
     """What the full-text index holds of a text: its terms and exact terms, joined by blanks."""
     return F.array_join(F.concat(fts_terms(text, lexicon), exact_terms(text)), " ")
@@ -99,12 +105,6 @@ def cut_to_budget(text: Column, budget: Column | int) -> Column:
     return F.when(n < 1, F.lit("")).otherwise(F.rtrim(F.substr(text, F.lit(1), (4 * n + 3).cast("int"))))
 
 
-def short_prefix(prefix: Column, most: int = 800) -> Column:
-    """A heading path over the limit, shortened in its middle."""
-    half = (most - 5) // 2
-    return F.when(F.length(prefix) <= most, prefix).otherwise(F.concat(F.substring(prefix, 1, half), F.lit(" ... "), F.right(prefix, F.lit(half))))
-
-
 def tag(value: Column) -> Column:
     """Tags as they may be written: blanks as hyphens, no #, known spellings."""
     plain = F.regexp_replace(F.regexp_replace(value, r"(?U)\s+", "-"), "#", "")
@@ -112,6 +112,33 @@ def tag(value: Column) -> Column:
     return F.coalesce(F.try_element_at(known, plain), plain)
 
 
+def embed_key(reference: Column) -> Column:
+    """Vault path below ``assets/`` of an image reference, its letter case kept: cut at | and #, slashes, no leading ./ and wiki/; null for an absolute path or one with ``..``."""
+    path = F.translate(F.trim(F.regexp_replace(reference, r"[|#][\s\S]*$", "")), "\\", "/")
+    path = F.regexp_replace(F.regexp_replace(path, r"^(\./)+", ""), r"^(?i)wiki/", "")
+    bad = path.rlike(r"^/|^[A-Za-z]:/|(^|/)\.\.(/|$)") | (path == "")
+    full = F.when(path.rlike(r"^(?i)assets/"), path).otherwise(F.concat(F.lit("assets/"), path))
+    parts = F.filter(F.split(full, "/"), lambda p: ~p.isin("", "."))
+    return F.when(~bad, F.array_join(parts, "/"))
+
+
+def image_placeholders(text: Column) -> Column:
+    """Placeholders {{IMG|path|图注: caption}} as embeds of the file name, the caption on the next line unless it is empty or [无图注]."""
+    bare = F.regexp_replace(text, r"(?s)\{\{IMG\|(?:[^|]*/)?([^|/]+)\|图注: (?:\[无图注\])?\}\}", "![[$1]]")
+    return F.regexp_replace(bare, r"(?s)\{\{IMG\|(?:[^|]*/)?([^|/]+)\|图注: (.*?)\}\}", "![[$1]]  \n$2")
+
+
+def embeds(text: Column) -> Column:
+    """What stands in ![[...]]."""
+    return found(text, r"!\[\[([^\]]+)\]\]", 1)
+
+
+def utc_fault(value: Column) -> Column:
+    """Why a value is no UTC time stamp in ISO 8601: missing, malformed or not_utc; null if it is one."""
+    shape = value.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$") & F.try_to_timestamp(F.substring(value, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
+    return F.when(value.isNull() | (value == ""), "missing").when(~shape, "malformed").when(~value.rlike(r"(Z|[+-]00:00)$"), "not_utc")
+
+
 def caption_line(lines: Column, at: Column, reach: int = 5) -> Column:
     """The first figure caption among the ``reach`` lines after line ``at`` (from 1); null without one."""
     near = F.slice(lines, at + 1, reach)

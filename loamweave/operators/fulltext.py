@@ -18,42 +18,68 @@ def terms_of(search_text: Column) -> Column:
     return F.filter(F.split(search_text, r"\s+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str = "id", text: str = "search_text") -> DataFrame:
-    """(term, key, tf, length). Null texts have no postings; repeated keys are counted as one document."""
-    one = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(text).alias("t"))
-    words = one.select(key, terms_of(F.col("t")).alias("words")).withColumn("length", F.size("words"))
-    return words.select(key, "length", F.explode("words").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.xxhash64(text).alias("h"), terms_of(F.col(text)).alias("words")).withColumn("length", F.size("words"))
 
 
-def write_postings(index: DataFrame, name: str, buckets: int = 256) -> None:
-    """As a table bucketed by term, so that queries meet it without a shuffle of the index."""
-    index.write.mode("errorifexists").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+def document_lengths(docs: DataFrame, key: str = "id", text: str = "search_text") -> DataFrame:
+    """(key, h, length, copies) of each document; only hashes and lengths are shuffled. Of different texts of one key that with the greatest hash counts; equal ones are copies."""
+    rows = _rows(docs, key, text).groupBy(key, "h").agg(F.first("length").alias("length"), F.count("*").alias("copies"))
+    return rows.groupBy(key).agg(F.max(F.struct("h", "length", "copies")).alias("d")).select(key, "d.h", "d.length", "d.copies")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id", text: str = "search_text", within: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score, rank) of the k best documents of each query, ties by key.
+def postings(docs: DataFrame, key: str = "id", text: str = "search_text", wanted: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, length), of the ``wanted`` terms (term) only if given. Null texts have no postings; a repeated key is one document.
 
-    queries: (query_id, query). A document matches with any term. within: (key) of the
-    documents that may be hits; inverse document frequencies stay those of all.
+    Texts are not shuffled: a document's copies raise each count alike and are divided out.
     """
-    one = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(text).alias("t"))
-    words = one.select(key, terms_of(F.col("t")).alias("words")).withColumn("length", F.size("words"))
-    size = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    hits = (
-        words.select(key, "length", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-        .groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-    )
+    lengths = document_lengths(docs, key, text) if lengths is None else lengths
+    flat = _rows(docs, key, text).select(key, "h", F.explode("words").alias("term"))
+    if wanted is not None:
+        flat = flat.join(wanted, "term", "left_semi")
+    counted = flat.groupBy("term", key, "h").agg(F.count("*").alias("n"))
+    return counted.join(lengths, [key, "h"]).select("term", key, (F.col("n") / F.col("copies")).cast("long").alias("tf"), "length")
+
+
+def write_index(docs: DataFrame, name: str, key: str = "id", text: str = "search_text", buckets: int = 256) -> None:
+    """Tables ``name``_postings, bucketed by term, and ``name``_lengths, so that queries meet the index without a shuffle of it."""
+    lengths = document_lengths(docs, key, text)
+    postings(docs, key, text).write.mode("errorifexists").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{name}_postings")
+    lengths.select(key, "length").write.mode("errorifexists").saveAsTable(f"{name}_lengths")
+
+
+def search_index(index: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, key: str = "id", within: DataFrame | None = None) -> DataFrame:
+    """``search`` over stored postings (term, key, tf, length) and lengths (key, length)."""
+    size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = _asked(queries)
+    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
+    return _best(hits, size, asked, k, key, within)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term"))
+
+
+def _best(hits: DataFrame, size: DataFrame, asked: DataFrame, k: int, key: str, within: DataFrame | None) -> DataFrame:
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if within is not None:
         hits = hits.join(within.select(key).distinct(), key, "left_semi")
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
     )
-    scored = (
-        hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(size))  # one row
-        .groupBy("query_id", key).agg(F.sum(weight).alias("score"))
-    )
+    weighted = hits.join(df, "term").crossJoin(F.broadcast(size)).select("term", key, weight.alias("weight"))  # one row
+    scored = weighted.join(asked, "term").groupBy("query_id", key).agg(F.sum("weight").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id", text: str = "search_text", within: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score, rank) of the k best documents of each query, ties by key.
+
+    queries: (query_id, query). A document matches with any term. within: (key) of the
+    documents that may be hits; inverse document frequencies stay those of all.
+    """
+    lengths = document_lengths(docs, key, text)
+    size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = _asked(queries)
+    return _best(postings(docs, key, text, asked.select("term").distinct(), lengths), size, asked, k, key, within)

@@ -106,21 +106,25 @@ def build(links: DataFrame, pairs: DataFrame, types: DataFrame) -> DataFrame:
 
 def inferred_only(signals: Column) -> Column:
     """Whether nothing but inferred signals made an edge."""
-    return (F.size(signals) > 0) & F.forall(signals, lambda s: s.isin("adamic_adar", "type_affinity") | s.contains("inferred"))
+    return (F.size(signals) > 0) & F.forall(signals, lambda s: F.lower(s).isin("adamic_adar", "type_affinity") | F.lower(s).contains("inferred"))
 
 
 def expand(seeds: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, page_id, seed_id, weight, signals, place): neighbours of seeds (query_id, page_id, rank) that are not seeds themselves.
 
-    A neighbour of several seeds comes by the best ranked one; k neighbours a query.
+    A neighbour of several seeds comes by the best ranked one, with all signals of their
+    edges; k neighbours a query, by the rank of the seed and then by page_id, or by
+    edge_no where edges have one.
     """
-    ends = edges.select("source_id", "target_id", "weight", "edge_signals")
-    ways = ends.toDF("a", "b", "weight", "signals").unionByName(ends.select("target_id", "source_id", "weight", "edge_signals").toDF("a", "b", "weight", "signals")).where("a != b")
-    ways = ways.groupBy("a", "b").agg(F.max("weight").alias("weight"), F.max("signals").alias("signals"))
+    numbered = "edge_no" in edges.columns
+    edges = edges.withColumn("edge_no", F.col("edge_no") if numbered else F.lit(0).cast("long"))
+    ends = edges.select("source_id", "target_id", "weight", "edge_signals", "edge_no")
+    ways = ends.toDF("a", "b", "weight", "signals", "no").unionByName(ends.select("target_id", "source_id", "weight", "edge_signals", "edge_no").toDF("a", "b", "weight", "signals", "no")).where("a != b")
+    ways = ways.groupBy("a", "b").agg(F.max("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"), F.min("no").alias("no"))  # a pair's few signals
     hops = seeds.select("query_id", F.col("page_id").alias("seed_id"), "rank").join(ways, F.col("seed_id") == ways.a)
-    first = hops.groupBy("query_id", F.col("b").alias("page_id")).agg(F.min(F.struct("rank", "seed_id", "weight", "signals")).alias("via"))
+    first = hops.groupBy("query_id", F.col("b").alias("page_id")).agg(F.min(F.struct("rank", "seed_id", "weight", "signals", "no")).alias("via"))
     new = first.join(seeds.select("query_id", "page_id"), ["query_id", "page_id"], "left_anti")
-    by = Window.partitionBy("query_id").orderBy("via.rank", "page_id")
+    by = Window.partitionBy("query_id").orderBy("via.rank", "via.no", "page_id")
     return new.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).select("query_id", "page_id", "via.seed_id", "via.weight", "via.signals", "place")
 
 
@@ -130,8 +134,11 @@ def validated(candidates: DataFrame, hits: DataFrame) -> DataFrame:
     return candidates.join(seen, ["query_id", "page_id"]).where((F.col("sparse") == 1) | ~inferred_only(F.col("signals"))).drop("sparse")
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component): the least node of each connected component, by alternating large and small stars."""
+def components(pairs: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, component): the least node of each connected component, by alternating large and small stars.
+
+    Rounds grow with the logarithm of the longest path; a graph not done after ``rounds`` raises.
+    """
     edges = stage(pairs.select(F.col("v").alias("a"), F.col("u").alias("b")))
     last = None
     for _ in range(rounds):
@@ -145,31 +152,71 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"components not found after {rounds} rounds")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return nodes.join(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def communities(weighted: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, community): deterministic modularity moves over (u, v, weight), all in joins.
+def _moved(ways: DataFrame, total: float, state: DataFrame, turn: int) -> DataFrame:
+    """State (node, k, community) after half of the nodes, by hash, took the community of greatest gain among their neighbours' and their own, ties by the least name."""
+    mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
+    near = ways.join(state.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("inside"))
+    options = near.unionByName(state.select("node", "community", F.lit(0.0).alias("inside"))).groupBy("node", "community").agg(F.sum("inside").alias("inside"))
+    own = state.select("node", "k", F.col("community").alias("now"))
+    gain = F.col("inside") - F.col("k") * (F.col("mass") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / total
+    best = options.join(mass, "community").join(own, "node").groupBy("node").agg(F.min(F.struct(-F.round(gain, 9), (F.col("community") != F.col("now")), "community")).alias("best"), F.first("k").alias("k"), F.first("now").alias("now"))
+    moves = F.pmod(F.xxhash64("node"), F.lit(2)) == turn
+    return best.select("node", "k", F.when(moves, F.col("best.community")).otherwise(F.col("now")).alias("community"))
+
+
+def _quality(ways: DataFrame, total: float, state: DataFrame) -> float:
+    """Modularity of a state; ``ways`` has each edge in both directions and inner weight as loops."""
+    inside = ways.join(state.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(state.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb")
+    mass = state.groupBy("community").agg(F.sum("k").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("v"))
+    got = inside.agg(F.sum("weight").alias("w")).crossJoin(mass).first()  # one row each
+    return (got["w"] or 0.0) / total - (got["v"] or 0.0) / (total * total)
 
-    Every round each node takes, of its neighbours' communities and its own, the one with
-    the greatest modularity gain, ties by the least name. Nodes move in alternating halves
-    by hash, so pairs do not swap for ever. No component is gathered into one task.
+
+def communities(weighted: DataFrame, nodes: DataFrame | None = None, gain: float = 1e-4) -> DataFrame:
+    """(node, community): deterministic multi-level modularity moves over (u, v, weight), all in joins.
+
+    Nodes move in alternating halves by hash, so pairs do not swap for ever, until a pair
+    of rounds no longer raises modularity by ``gain``; then communities become the nodes of
+    the next level, until a level gains nothing. Every level only ever raises modularity.
+    No component is gathered into one task. ``nodes``: (node); those without an edge are one
+    last community, named by the least of them.
     """
-    ways = stage(weighted.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").unionByName(weighted.select(F.col("v").alias("a"), F.col("u").alias("b"), "weight")).where("weight > 0"))
+    edges = weighted.where("weight > 0 and u != v")
+    ways = stage(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"), "weight")))
     total = ways.agg(F.sum("weight")).first()[0] or 1.0
-    strength = ways.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
-    state = stage(strength.select("node", "k", F.col("node").alias("community")))
-    for i in range(rounds):
-        mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
-        near = ways.join(state.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("inside"))
-        options = near.unionByName(state.select("node", "community", F.lit(0.0).alias("inside"))).groupBy("node", "community").agg(F.sum("inside").alias("inside"))
-        own = state.select("node", "k", F.col("community").alias("now"))
-        gain = F.col("inside") - F.col("k") * (F.col("mass") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / total
-        best = options.join(mass, "community").join(own, "node").groupBy("node").agg(F.min(F.struct(-F.round(gain, 9), (F.col("community") != F.col("now")), "community")).alias("best"), F.first("k").alias("k"), F.first("now").alias("now"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        state = stage(best.select("node", "k", F.when(turn, F.col("best.community")).otherwise(F.col("now")).alias("community")))
-    return state.select("node", "community")
+    found = None
+    quality = float("-inf")
+    while True:
+        strength = ways.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
+        loops = ways.where("a != b")
+        state = stage(strength.select("node", "k", F.col("node").alias("community")))
+        best, before = state, _quality(ways, total, state)
+        started = max(before, quality)
+        while True:
+            state = stage(_moved(loops, total, _moved(loops, total, best, 0), 1))
+            now = _quality(ways, total, state)
+            if now <= before + gain:
+                break
+            best, before = state, now
+        if found is not None and before <= started + gain:
+            break
+        step = best.select("node", "community")
+        found = stage(step if found is None else found.withColumnRenamed("community", "middle").join(step.withColumnRenamed("node", "middle"), "middle").select("node", "community"))
+        if before <= started + gain:
+            break
+        quality = before
+        c = lambda n: step.select(F.col("node").alias(n), F.col("community").alias(f"c{n}"))
+        ways = stage(ways.join(c("a"), "a").join(c("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
+    if nodes is None:
+        return found
+    alone = nodes.select("node").distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.crossJoin(F.broadcast(alone.agg(F.min("node").alias("community")))))  # one row
 
 
 def modularity(weighted: DataFrame, assigned: DataFrame) -> float:
