@@ -77,3 +77,16 @@ def ordered_total(df: DataFrame, keys: list[str], order: str, value: Column, nam
     inside = Window.partitionBy(*keys, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     summed = df.withColumn("_w", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return summed.join(offsets, [*keys, "_c"]).withColumn(name, F.col("_w") + F.col("_o")).drop("_c", "_v", "_w", "_o")
+
+
+def numbers(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Numbers from 0 in the order of a column of distinct values: ranges of it are numbered on their own and shifted by the sizes of those before."""
+    parted = stage(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sizes = [(r["_p"], r["count"]) for r in parted.groupBy("_p").count().orderBy("_p").collect()]  # a row a range
+    before, shifts = 0, []
+    for p, n in sizes:
+        shifts.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(shifts, "_p int, _o long")
+    inside = Window.partitionBy("_p").orderBy(order)
+    return parted.join(F.broadcast(offsets), "_p").withColumn(name, F.row_number().over(inside) - 1 + F.col("_o")).drop("_p", "_o")  # a row a range

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import SparkSession
 def _at(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm  # noqa: SLF001
     where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm  # noqa: SLF001
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    return (fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs), where, jvm  # without checksum files beside
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -44,7 +46,10 @@ def write(spark: SparkSession, path: str, text: str) -> None:
     stream.write(bytearray(text.encode()))
     stream.hsync()
     stream.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.isAbsolute() and where.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    if fs.getUri().getScheme() == "file":
+        os.replace(aside.toUri().getPath(), where.toUri().getPath())
+        return
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
     overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)  # noqa: SLF001
     options[0] = overwrite

@@ -1,13 +1,10 @@
-"""Files as DataFrames: Markdown pages with front matter, raw sources, office documents, HTML tables, JSON lines, lexicons."""
+"""Files as DataFrames: Markdown pages with front matter, raw sources, HTML tables, JSON lines, lexicons, synonyms."""
 
 from __future__ import annotations
 
-import io
 import posixpath
 import re
-import zipfile
 from html.parser import HTMLParser
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,27 +15,85 @@ from loamweave.functions.text import first_heading, wikilinks
 #: Suffixes of raw sources.
 SUFFIXES = ("md", "txt", "pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "html", "htm", "csv")
 _FENCE = re.compile(r"\A---\n(.*?)\n---\n(.*)\Z", re.S)
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _scalar(text: str) -> object:
+    """A value on one line: quoted, listed, true or false, null, or as it stands; comments are cut."""
+    text = text.strip()
+    if text[:1] == '"' and (m := re.match(r'"((?:[^"\\]|\\.)*)"', text)):
+        return re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t"}.get(x[1], x[1]), m[1])
+    if text[:1] == "'" and (m := re.match(r"'((?:[^']|'')*)'", text)):
+        return m[1].replace("''", "'")
+    if text[:1] == "[" and "]" in text:
+        inner = text[1 : text.rindex("]")]
+        parts = re.findall(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,]*?)\s*(?:,|$)""", inner)
+        return [_scalar(p) for p in parts if p]
+    text = re.sub(r"(^|\s)#.*$", "", text).strip()
+    return {"true": True, "false": False, "null": None, "~": None, "": None}.get(text.lower(), text)
+
+
+def yaml_fields(text: str) -> dict[str, object]:
+    """Top-level fields of a YAML head: scalars, quoted and over several lines (| and >), lists inline and in lines, and maps of such by one more indentation."""
+    lines = text.split("\n")
+    out: dict[str, object] = {}
+    n = 0
+    while n < len(lines):
+        pair = re.match(r"""(?:"([^"]+)"|'([^']+)'|([^\s#:'"\-][^:#]*?|[\w-]+))\s*:(?:\s+(.*)|)$""", lines[n])
+        n += 1
+        if not pair:
+            continue
+        key, value = pair[1] or pair[2] or pair[3], (pair[4] or "").strip()
+        block = []
+        while n < len(lines) and (not lines[n].strip() or lines[n][0] in " \t" or re.match(r"-(\s|$)", lines[n])):
+            block.append(lines[n])
+            n += 1
+        while block and not block[-1].strip():
+            block.pop()
+        if value[:1] in ("|", ">") and len(value) <= 2:
+            deep = min((len(x) - len(x.lstrip()) for x in block if x.strip()), default=0)
+            kept = [x[deep:] for x in block]
+            out[key] = "\n".join(kept) if value[0] == "|" else re.sub(r"(?<!\n)\n(?!\n)", " ", "\n".join(kept))
+        elif not re.sub(r"(^|\s)#.*$", "", value).strip() and block:
+            items = [x.strip() for x in block if x.strip() and not x.strip().startswith("#")]
+            if items and re.match(r"-(\s|$)", items[0]):
+                out[key] = [_scalar(x[1:]) for x in items if x[:1] == "-"]
+            else:
+                deep = min(len(x) - len(x.lstrip()) for x in block if x.strip())
+                out[key] = yaml_fields("\n".join(x[deep:] for x in block))
+        else:
+            if value[:1] == "[" and "]" not in value:
+                value += " " + " ".join(x.strip() for x in block)
+            elif block and value[:1] not in ("[", "'", '"'):
+                value += " " + " ".join(x.strip() for x in block)
+            out[key] = _scalar(value)
+    return out
 
 
 def front_matter(text: str) -> tuple[dict[str, object], str] | None:
-    """(fields, body) of a page that starts with a fenced head of ``key: value`` lines and lists; None without one."""
+    """(fields, body) of a page that starts with a fenced head; None without one."""
+    m = _FENCE.match(text)
+    return (yaml_fields(m[1]), m[2]) if m else None
+
+
+def loose_head(text: str) -> dict[str, object]:
+    """Fields of a head whose fences may have blanks after them, empty without one: what the map of contents reads."""
+    m = re.match(r"---\s*\n(.*?)\n---\s*\n", text, re.S)
+    return yaml_fields(m[1]) if m else {}
+
+
+def raw_sources_of(text: str) -> list[str]:
+    """The sources below raw/ of a page's head, slashes forward."""
+    got = front_matter(text)
+    listed = got[0].get("sources") if got else None
+    names = listed if isinstance(listed, list) else [listed] if isinstance(listed, str) else []
+    return [s.replace("\\", "/") for s in map(str, names) if s.lower().startswith("raw/")]
+
+
+def body_of(text: str, most: int | None = None) -> str:
+    """A page's text without its head; with ``most`` cut there, with a mark."""
     m = _FENCE.match(text)
-    if not m:
-        return None
-    fields: dict[str, object] = {}
-    key = None
-    for line in m[1].split("\n"):
-        item = re.match(r"\s*-\s+(.*)$", line)
-        pair = re.match(r"([\w-]+):\s*(.*)$", line)
-        if item and key:
-            have = fields[key] if isinstance(fields[key], list) else []
-            fields[key] = [*have, item[1].strip().strip("\"'")]
-        elif pair:
-            key, value = pair[1], pair[2].strip()
-            inline = re.match(r"\[(.*)\]$", value)
-            fields[key] = [x.strip().strip("\"'") for x in inline[1].split(",") if x.strip()] if inline else value.strip("\"'")
-    return fields, m[2]
+    body = m[2].strip() if m else text
+    return body if most is None or len(body) <= most else body[:most] + "\n...[truncated]"
 
 
 def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -50,7 +105,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     raw = _files(spark, folder, "*.md").where(~F.col("path").contains("/.graph/")).select("path", "content", F.sha2("content", 256).alias("sha256"))
 
     def run(batches):
-        listed = lambda v: v if isinstance(v, list) else [v] if v else []
+        listed = lambda v: [str(x) for x in v if x is not None] if isinstance(v, list) else [str(v)] if v else []
         for pdf in batches:
             rows = []
             for path, content, sha in zip(pdf["path"], pdf["content"], pdf["sha256"]):
@@ -58,7 +113,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
                 if got:
                     head, body = got
                     name = posixpath.splitext(posixpath.basename(path))[0]
-                    rows.append((path, path, head.get("title") or name, head.get("type") or "concept", body, listed(head.get("sources")), listed(head.get("aliases")), sha))
+                    rows.append((path, path, str(head.get("title") or name), str(head.get("type") or "concept"), body, listed(head.get("sources")), listed(head.get("aliases")), sha))
             yield pd.DataFrame(rows, columns=["page_id", "path", "title", "page_type", "content", "sources", "aliases", "sha256"])
 
     read = raw.mapInPandas(run, "page_id string, path string, title string, page_type string, content string, sources array<string>, aliases array<string>, sha256 string")
@@ -79,39 +134,6 @@ def parsed_text(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("doc_type").isin("md", "txt")).select("path", first_heading(text, stem).alias("title"), text.alias("text"), "doc_type", "sha256")
 
 
-def docx_text(data: bytes) -> tuple[str, list[list[list[str]]]]:
-    """(text, tables) of a Word file: headings as # lines, tables as | rows; unreadable files give empty ones."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return "", []
-    said = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t"))
-    out, tables = [], []
-    for e in body if body is not None else []:
-        if e.tag == f"{_W}p":
-            style = e.find(f"{_W}pPr/{_W}pStyle")
-            level = re.match(r"(?i)heading\s*(\d)", style.get(f"{_W}val", "")) if style is not None else None
-            if said(e).strip():
-                out.append("#" * int(level[1]) + " " + said(e) if level else said(e))
-        elif e.tag == f"{_W}tbl":
-            rows = [[said(c).strip() for c in r.iter(f"{_W}tc")] for r in e.iter(f"{_W}tr")]
-            tables.append(rows)
-            out += ["| " + " | ".join(r) + " |" for r in rows]
-    return "\n".join(out), tables
-
-
-def docx(sources: DataFrame) -> DataFrame:
-    """(path, text, doc_tables, sha256) of the Word files among raw sources."""
-
-    def run(batches):
-        for pdf in batches:
-            got = [docx_text(bytes(c)) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "text": [g[0] for g in got], "doc_tables": [g[1] for g in got], "sha256": pdf["sha256"]})
-
-    return sources.where("doc_type = 'docx'").mapInPandas(run, "path string, text string, doc_tables array<array<array<string>>>, sha256 string")
-
-
 class _Tables(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
@@ -142,13 +164,13 @@ class _Tables(HTMLParser):
 
 
 def html_tables(text: str | None) -> list[list[list[str]]]:
-    """Tables, rows and cells of HTML in a text; empty rows and tables are dropped."""
+    """Tables, rows and cells of HTML in a text; rows without cells and tables without rows are dropped."""
     if not text or "<t" not in text.lower():
         return []
     p = _Tables()
     p.feed(text)
     p.close()
-    return [t for t in ([r for r in t if any(r)] for t in p.tables) if t]
+    return [t for t in ([r for r in t if r] for t in p.tables) if t]
 
 
 def tables_of(texts: DataFrame) -> DataFrame:
@@ -170,3 +192,33 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(term) lines of a lexicon, without comments and blank lines."""
     return spark.read.text(path).select(F.trim("value").alias("term")).where("term != '' and not term like '#%'").distinct()
+
+
+def synonyms(text: str) -> dict[str, tuple[str, ...]]:
+    """Words and their alternatives of lines ``word: [a, b]`` or ``word: a, b``; comments and other lines are skipped."""
+    out = {}
+    for line in text.splitlines():
+        key, colon, value = line.strip().partition(":")
+        others = tuple(x.strip().strip("\"'") for x in value.strip().strip("[]").split(",") if x.strip())
+        if colon and key.strip() and not key.startswith("#") and others:
+            out[key.strip()] = others
+    return out
+
+
+def environment(text: str, have: dict[str, str]) -> dict[str, str]:
+    """``have`` with the NAME=value lines of a settings file it lacks; quotes and an export in front are taken off."""
+    out = dict(have)
+    for line in text.splitlines():
+        if m := re.match(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", line):
+            out.setdefault(m[1], m[2].strip("\"'"))
+    return out
+
+
+def plain_page_chunks(pages: DataFrame) -> DataFrame:
+    """(chunk_id, page_id, title, text) of whole pages (path, content): one chunk a page, without a head, named by path and body; blank bodies give none."""
+    body = F.trim(F.regexp_replace("content", r"(?s)^---\n.*?\n---\n", ""))
+    head = F.trim(F.regexp_extract("content", r"(?m)^title:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1))
+    name = F.regexp_extract("path", r"([^/\\\\]+?)(?:\.md)?$", 1)
+    seed = F.concat("path", F.decode(F.unhex(F.lit("00")), "UTF-8"), body)
+    rows = pages.where("path is not null and content is not null")
+    return rows.select(F.concat(F.lit("sparse:"), F.sha2(seed, 256)).alias("chunk_id"), F.col("path").alias("page_id"), F.when(head != "", head).otherwise(name).alias("title"), body.alias("text")).where("text != ''")
