@@ -47,52 +47,79 @@ def budget(mode: Column, base: Column, override: str | None = None, hard_max: in
     return [name.alias("bundle_mode"), planned.alias("planned_tokens"), (F.least(planned, F.lit(hard_max)) if hard_max else planned).alias("effective_tokens")]
 
 
-def pack(items: list[tuple[str, str, str]], limit: int) -> list[tuple[int, str, int, bool]]:
-    """(position, text, tokens, truncated) of the items (id, category, text) that get into a budget.
+def fold(items: list[tuple[str, int]], limit: int) -> list[tuple[int, int, bool]]:
+    """(position, tokens, cut) of the items (category, tokens) that get into a budget, in their order.
 
     Each category present has its share of the budget first; what does not fit there waits
-    and is offered what is left at the end, in the same order, cut if need be. Tokens are
-    max(1, characters // 4). The result is in the order of the items.
+    and is offered what is left at the end, in the same order. The first of them that does
+    not fit is cut to all that is left. Empty items get nothing.
     """
-    size = lambda t: max(1, len(t) // 4) if t else 0
-    present = {c for _, c, _ in items}
+    present = {c for c, _ in items}
     share = {c: int(limit * SHARES[c]) if len(present) > 1 else limit for c in present}
     spent = dict.fromkeys(present, 0)
     used, waiting, out = 0, [], []
-    for n, (_, c, text) in enumerate(items):
+    for n, (c, size) in enumerate(items):
         held = sum(max(0, share[o] - spent[o]) for o in present if o != c) if len(present) > 1 else 0
         allowed = min(share[c] - spent[c], limit - used - held)
-        if 0 < size(text) <= allowed:
-            out.append((n, text, size(text), False))
-            spent[c] += size(text)
-            used += size(text)
-        elif text:
+        if 0 < size <= allowed:
+            out.append((n, size, False))
+            spent[c] += size
+            used += size
+        elif size:
             waiting.append(n)
     for n in waiting:
-        text, room = items[n][2], limit - used
+        room = limit - used
         if room < 1:
             break
-        cut = text if size(text) <= room else text[: 4 * room + 3].rstrip()
-        if cut:
-            out.append((n, cut, size(cut), cut != text))
-            used += size(cut)
+        size = min(items[n][1], room)
+        out.append((n, size, size < items[n][1]))
+        used += size
     return sorted(out)
 
 
-def assemble(candidates: DataFrame, limit: int = 4096, most: int = 64) -> DataFrame:
+def _size(text: str) -> int:
+    return max(1, len(text) // 4) if text else 0
+
+
+def pack(items: list[tuple[str, str, str]], limit: int) -> list[tuple[int, str, int, bool]]:
+    """``fold`` of the items (id, category, text): (position, text, tokens, cut), in tokens of max(1, characters // 4)."""
+    out = []
+    for n, size, cut in fold([(c, _size(t)) for _, c, t in items], limit):
+        text = items[n][2][: 4 * size + 3].rstrip() if cut else items[n][2]
+        if text:
+            out.append((n, text, _size(text), cut))
+    return out
+
+
+def assemble(candidates: DataFrame, limit: int = 4096, omitted: bool = False) -> DataFrame:
     """(query_id, place, id, category, text, n_tokens, truncated) of candidates (query_id, rank, id, category, text).
 
-    At most ``most`` best ranked candidates of a query are looked at, which bounds a
-    group. Null texts and unknown categories are left out.
+    A column limit of the candidates takes the place of ``limit``; other columns are
+    carried along. An id met twice in a query counts once, where it ranks best. Null and
+    empty texts and unknown categories are left out. With ``omitted`` what got no room
+    comes too, with the reason in a column omitted. A query's fold sees sizes only, texts
+    join it afterwards.
     """
-    best = Window.partitionBy("query_id").orderBy("rank", "id")
-    rows = candidates.where(F.col("text").isNotNull() & F.col("category").isin(*SHARES)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    rest = [c for c in candidates.columns if c not in ("query_id", "rank", "id", "category", "text", "limit")]
+    rows = candidates.where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("category").isin(*SHARES))
+    rows = rows.withColumn("limit", F.col("limit").cast("int") if "limit" in candidates.columns else F.lit(limit))
+    once = rows.groupBy("query_id", "id").agg(F.min(F.struct("rank", "category", "text", "limit", *rest)).alias("c")).select("query_id", "id", "c.*")
+    size = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("int")
+    by = Window.partitionBy("query_id").orderBy("rank", "id")
+    small = once.select("query_id", "id", "rank", "category", "limit", size.alias("size")).withColumn("place", F.row_number().over(by)).drop("rank")
     kind = dict(candidates.dtypes)["query_id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
-        items = list(zip(pdf["id"], pdf["category"], pdf["text"]))
-        got = pack(items, limit)
-        return pd.DataFrame([(pdf["query_id"].iloc[0], n + 1, items[n][0], items[n][1], t, s, c) for n, t, s, c in got], columns=["query_id", "place", "id", "category", "text", "n_tokens", "truncated"])
-
-    return rows.select("query_id", "place", "id", "category", "text").groupBy("query_id").applyInPandas(run, f"query_id {kind}, place int, id string, category string, text string, n_tokens int, truncated boolean")
+        got = {n: (t, c) for n, t, c in fold(list(zip(pdf["category"], pdf["size"])), int(pdf["limit"].iloc[0]))}
+        kept = [got.get(n, (0, False)) for n in range(len(pdf))]
+        return pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "place": pdf["place"], "n_tokens": [k[0] for k in kept], "truncated": [k[1] for k in kept]})
+
+    folded = small.groupBy("query_id").applyInPandas(run, f"query_id {kind}, id {dict(candidates.dtypes)['id']}, place int, n_tokens int, truncated boolean")
+    text = F.when(F.col("truncated"), F.rtrim(F.substr("text", F.lit(1), 4 * F.col("n_tokens") + 3), F.lit(" \n\t\r"))).otherwise(F.col("text"))
+    whole = once.join(folded, ["query_id", "id"]).withColumn("text", F.when(F.col("n_tokens") > 0, text))
+    whole = whole.withColumn("n_tokens", F.when(F.coalesce("text", F.lit("")) != "", F.greatest(F.lit(1), F.floor(F.length("text") / 4))).otherwise(0).cast("int"))
+    columns = ["query_id", "place", "id", "category", "text", "n_tokens", "truncated", *rest]
+    if not omitted:
+        return whole.where("n_tokens > 0").select(*columns)
+    return whole.select(*columns, F.when(F.col("n_tokens") == 0, F.concat("category", F.lit("_budget_exhausted"))).alias("omitted"))

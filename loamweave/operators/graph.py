@@ -1,4 +1,4 @@
-"""Page graph: signals, scores, expansion, components, communities, reports."""
+"""Page graph: signals, scores, expansion, components, communities."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamweave.functions.keys import edge_ends, set_fingerprint
+from loamweave.functions.keys import edge_ends
 from loamweave.operators.stage import stage
 
 #: Weights of the signals.
@@ -227,29 +227,3 @@ def modularity(weighted: DataFrame, assigned: DataFrame) -> float:
         weighted.select("u", "v", "weight").unionByName(weighted.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")).withColumnsRenamed({"u": "node", "v": "b"}), ["node", "b"]
     ).join(assigned, "node").groupBy("community").agg(F.sum("weight").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
     return inside / total - mass / (4 * total * total)
-
-
-def reports(assigned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(community, n_members, first_member, n_edges, members_key, edges_key): order-independent facts a report is checked against."""
-    members = assigned.groupBy("community").agg(F.count("*").alias("n_members"), F.min("node").alias("first_member"), set_fingerprint(F.col("node")).alias("members_key"))
-    c = lambda n: assigned.select(F.col("node").alias(n), F.col("community").alias(f"c_{n}"))
-    inner = pairs.join(c("u"), "u").join(c("v"), "v").where("c_u = c_v").groupBy(F.col("c_u").alias("community")).agg(F.count("*").alias("n_edges"), set_fingerprint(F.concat_ws("\x01", "u", "v")).alias("edges_key"))
-    return members.join(inner, "community", "left").fillna(0, ["n_edges"])
-
-
-def stale(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(community, reason) of reports that no longer fit the graph: missing, gone, changed_members or changed_edges."""
-    a = old.select("community", F.col("members_key").alias("m1"), F.col("edges_key").alias("e1"), F.lit(True).alias("old"))
-    b = new.select("community", F.col("members_key").alias("m2"), F.col("edges_key").alias("e2"), F.lit(True).alias("new"))
-    reason = F.when(F.col("old").isNull(), "missing").when(F.col("new").isNull(), "gone").when(F.col("m1") != F.col("m2"), "changed_members").when(~F.col("e1").eqNullSafe(F.col("e2")), "changed_edges")
-    return a.join(b, "community", "full_outer").withColumn("reason", reason).where("reason is not null").select("community", "reason")
-
-
-def select_reports(scored: list[tuple[str, int, int]], k: int, budget: int) -> list[str]:
-    """Of reports (id, matches, tokens) the k best by matches that fit the budget one after another; one too large is skipped."""
-    out, used = [], 0
-    for name, matches, size in sorted(scored, key=lambda r: (-r[1], r[0])):
-        if len(out) < k and matches > 0 and used + size <= budget:
-            out.append(name)
-            used += size
-    return out

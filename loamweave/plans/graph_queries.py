@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamweave.operators import graph
+from loamweave.operators import fusion, graph, reports, retrieval
 from loamweave.operators.references import link_key, name_key, path_key
 from loamweave.operators.stage import newest
 from loamweave.sources.tables import table
@@ -99,13 +99,78 @@ def _weighted(spark, d):
 
 
 def _communities(spark, d):
-    return graph.communities(_weighted(spark, d))
+    """Communities of all pages in the graph, those without a weighted edge as one."""
+    e = _edges(spark, d)
+    return graph.communities(_weighted(spark, d), e.select(F.explode(F.array("source_id", "target_id")).alias("node")).where("node is not null"))
+
+
+def _members(spark, d):
+    """Components of the graph, numbered."""
+    return reports.numbered(graph.components(graph.undirected(_edges(spark, d))).withColumnRenamed("component", "community"))
+
+
+def _hashes(spark, d):
+    return newest(table(spark, d, "wiki_pages"), ["page_id"], "updated_at", ["page_id", "updated_at", "sha256"])
+
+
+def _made(spark, d):
+    return reports.build(_members(spark, d), _hashes(spark, d), _edges(spark, d))
 
 
 def _reports(spark, d):
-    pairs = graph.undirected(_edges(spark, d))
-    got = graph.reports(graph.components(pairs).withColumnRenamed("component", "community"), pairs)
-    return got.select("community", "n_members", "first_member", "n_edges")
+    members = _members(spark, d)
+    counts = reports.edge_keys(members, graph.undirected(_edges(spark, d)).select(F.col("u").alias("source_id"), F.col("v").alias("target_id"), F.lit(1.0).alias("weight"), F.array().cast("array<string>").alias("edge_signals")))
+    made = reports.build(members, _hashes(spark, d), _edges(spark, d)).join(counts.select("community_id", "n_edges"), "community_id", "left")
+    return made.select("community_id", "n_members", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "title", "text", "content_hash", "token_count")
+
+
+def _fresh(spark, d):
+    """Reports of the graph of all pages against the graph without the pages that are deleted."""
+    made = _made(spark, d)
+    live = _pages(spark, d).select("page_id")
+    left = _members(spark, d).join(live.withColumnRenamed("page_id", "node"), "node", "left_semi")
+    return reports.stale_reasons(made, left, _hashes(spark, d), _edges(spark, d)).where("reason = 'membership'").select("community_id", "reason")
+
+
+def _chosen(spark, d):
+    """Reports for each query, its terms the titles' words of what it retrieved by fusion."""
+    words = table(spark, d, "retrieved_pages", "query_id", "page_id", "retrieval_method").where("retrieval_method = 'fused'").groupBy("query_id").agg(F.array_sort(F.collect_set("page_id")).alias("terms"))
+    return reports.select(_made(spark, d), words, 3, 4096)
+
+
+def _entities(spark, d):
+    """Names of entities in the graph: titles, parts of page ids, and a name no page has."""
+    edges = _edges(spark, d)
+    nodes = edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).where("node_id is not null").distinct().join(_pages(spark, d).select(F.col("page_id").alias("node_id"), "title"), "node_id", "left")
+    nodes = nodes.withColumn("node_no", F.col("node_id"))
+    asked = table(spark, d, "wiki_pages", "page_id", "title").distinct().select(F.col("page_id").alias("query_id"), F.explode(F.array(F.upper("title"), F.regexp_extract("page_id", r"([a-z]+_[a-z]\d+)", 1), F.lit("no such page"))).alias("entity"))
+    return retrieval.entity_nodes(asked, nodes)
+
+
+def _neighbourhood(spark, d):
+    """Who is linked with whom: each page's neighbours, one edge a pair."""
+    return graph.both_ways(graph.undirected(_edges(spark, d))).groupBy(F.col("a").alias("page_id")).agg(F.count("*").alias("n"), F.min("b").alias("first"), F.max("b").alias("last"))
+
+
+def _candidates(spark, d):
+    """Direct candidates of each query by rank fusion of its methods, and proven graph candidates."""
+    seeds, rows = _seeds(spark, d)
+    by = Window.partitionBy("query_id", "retrieval_method").orderBy(F.desc("score"), "page_id")
+    hits = rows.where("retrieval_method in ('bm25', 'vector') and score is not null").withColumn("rank", F.row_number().over(by)).select(
+        "query_id", "page_id", F.when(F.col("retrieval_method") == "bm25", "sparse").otherwise("dense").alias("channel"), "rank", F.concat_ws(":", "retrieval_method", "page_id").alias("chunk_id"), "score", F.lit("text").alias("text"))
+    direct = fusion.page_rrf(hits, 5, evidence=10)
+    near = graph.expand(seeds, _edges(spark, d).where("weight is not null"))
+    return direct, retrieval.page_evidence(near, hits)
+
+
+def _evidence(spark, d):
+    got = _candidates(spark, d)[1]
+    return got.select("query_id", "page_id", F.col("place").cast("int").alias("place"), F.element_at("paths", 1)["is_inferred"].alias("is_inferred"), F.array_join(F.transform("evidence", lambda e: e["chunk_id"]), ",").alias("evidence"))
+
+
+def _merged(spark, d):
+    got = retrieval.merge(*_candidates(spark, d))
+    return got.select("query_id", "page_id", F.round("rrf", 8).alias("rrf"), F.size("paths").alias("n_paths"), F.array_join(F.transform("evidence", lambda e: e["chunk_id"]), ",").alias("evidence"), "rank")
 
 
 _PAGES = """
@@ -125,7 +190,7 @@ _LINKS = """
 _SEEDS = """
     rows as (select query_id, page_id, retrieval_method, max(struct_pack(a := retrieved_at, b := score)).b as score from retrieved_pages group by 1, 2, 3),
     seeds as (select * from (select query_id, page_id, row_number() over (partition by query_id order by score desc, page_id) as rank from rows where retrieval_method = 'fused' and score is not null) where rank <= 5),
-    e as (select a, b, max(weight) as weight, max(signals) as signals from (select source_id as a, target_id as b, weight, edge_signals as signals from graph_edges where weight is not null union all select target_id, source_id, weight, edge_signals from graph_edges where weight is not null) where a <> b group by 1, 2),
+    e as (select a, b, max(weight) as weight, list_sort(list_distinct(flatten(list(signals)))) as signals from (select source_id as a, target_id as b, weight, edge_signals as signals from graph_edges where weight is not null union all select target_id, source_id, weight, edge_signals from graph_edges where weight is not null) where a <> b group by 1, 2),
     hops as (select s.query_id, e.b as page_id, s.rank, s.page_id as seed_id, e.weight, e.signals, row_number() over (partition by s.query_id, e.b order by s.rank) as nth from seeds s join e on e.a = s.page_id),
     fresh as (select h.* from hops h anti join seeds s on s.query_id = h.query_id and s.page_id = h.page_id where nth = 1),
     cand as (select *, row_number() over (partition by query_id order by rank, page_id) as place from fresh)"""
@@ -133,6 +198,13 @@ _COMPONENTS = f"""
     with recursive {_PAIRS}, {_WAYS},
     reach(node, root) as (select a, a from ways union select w.b, r.root from reach r join ways w on w.a = r.node and w.b > r.root),
     comp as (select node, min(root) as component from reach group by 1)"""
+_NUMBERED = _COMPONENTS + """,
+    num as (select node, dense_rank() over (order by component) - 1 as community_id from comp)"""
+_PROVEN = """
+    hits as (select query_id, page_id, case retrieval_method when 'bm25' then 'sparse' else 'dense' end as channel, score, retrieval_method || ':' || page_id as chunk_id, row_number() over (partition by query_id, retrieval_method order by score desc, page_id) as nth from rows where retrieval_method in ('bm25', 'vector') and score is not null),
+    inf as (select *, coalesce(len(signals), 0) > 0 and len(list_filter(signals, lambda s: lower(s) not in ('adamic_adar', 'type_affinity') and not contains(lower(s), 'inferred'))) = 0 as inferred from cand where place <= 10),
+    proven as (select i.query_id, i.page_id, i.place, i.inferred, string_agg(h.chunk_id, ',' order by h.channel <> 'sparse', h.chunk_id) as evidence
+               from inf i join hits h on h.query_id = i.query_id and h.page_id = i.page_id and (not i.inferred or h.channel = 'sparse') group by 1, 2, 3, 4)"""
 
 QUERIES = {
     "link_resolution": (_links, f"with {_PAGES}, {_LINKS} select * from hit"),
@@ -140,24 +212,65 @@ QUERIES = {
     "source_overlap_classes": (_classes, f"""with {_PAGES}, {_OVERLAP}, n as (select id, count(*) as k from (select u as id from over union all select v from over) group by 1)
         select page_id, cls.id as class_id, coalesce(k, 0) as n_links from src join cls using (s) left join n on n.id = cls.id"""),
     "graph_build": (_build, f"""with {_PAGES}, {_LINKS}, {_OVERLAP},
-        parts as (select least(source_id, target_id) as u, greatest(source_id, target_id) as v, n * 1.0::double as w, 'direct_link' as s from hit union all select u, v, 0.6::double * jaccard, 'source_overlap' from over),
-        base as (select u, v, sum(w) as w, list_sort(list_distinct(list(s))) as s from parts group by 1, 2),
+        own as (select page_id, unnest(s) as source, len(s) as n from src where len(s) > 0),
+        jac as (select a.page_id as u, b.page_id as v, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jaccard from own a join own b using (source) where a.page_id < b.page_id group by 1, 2),
+        parts as (select least(source_id, target_id) as u, greatest(source_id, target_id) as v, n * 1.0::double as w, 'direct_link' as s from hit union all select u, v, 0.6::double * jaccard, 'source_overlap' from jac),
+        stated as (select u, v, sum(w) as w, list_sort(list_distinct(list(s))) as s from parts group by 1, 2),
+        both_ways as (select u as a, v as b from stated union all select v, u from stated), deg as (select a as mid, count(*) as k from both_ways group by 1),
+        sc as (select x.b as u, y.b as v, sum(1 / ln(k)) as score from both_ways x join both_ways y on x.a = y.a and x.b < y.b join deg on mid = x.a and k > 1
+            where not exists (select 1 from stated p where p.u = x.b and p.v = y.b) group by 1, 2),
+        ends as (select u as node, u, v, score from sc union all select v, u, v, score from sc),
+        kept as (select distinct u, v, score from (select *, row_number() over (partition by node order by round(score, 9) desc, u, v) as place from ends) where place <= 5),
+        base as (select * from stated union all select u, v, 0.4::double * score, ['adamic_adar'] from kept),
         typed as (select b.*, coalesce(p.page_type = q.page_type, false) as same from base b left join pages p on p.page_id = u left join pages q on q.page_id = v)
         select u, v, round(w + case when same then 0.3::double else 0 end, 4) as weight, array_to_string(list_sort(case when same then list_append(s, 'type_affinity') else s end), ',') as signals from typed"""),
     "adamic_adar_scores": (_adamic, f"""with {_PAIRS}, {_WAYS}, deg as (select a as mid, count(*) as k from ways group by 1)
         select x.b as u, y.b as v, round(sum(1 / ln(k)), 6) as score from ways x join ways y on x.a = y.a and x.b < y.b join deg on mid = x.a and k > 1
         where not exists (select 1 from pairs p where p.u = x.b and p.v = y.b) group by 1, 2"""),
-    "adamic_adar_kept": (_adamic_kept, None),
+    "adamic_adar_kept": (_adamic_kept, f"""with {_PAIRS}, {_WAYS}, deg as (select a as mid, count(*) as k from ways group by 1),
+        sc as (select x.b as u, y.b as v, sum(1 / ln(k)) as score from ways x join ways y on x.a = y.a and x.b < y.b join deg on mid = x.a and k > 1
+            where not exists (select 1 from pairs p where p.u = x.b and p.v = y.b) group by 1, 2),
+        ends as (select u as node, u, v, score from sc union all select v, u, v, score from sc),
+        pl as (select *, row_number() over (partition by node order by round(score, 9) desc, u, v) as place from ends)
+        select distinct u, v, round(score, 6) as score from pl where place <= 5"""),
     "node_degree": (_degree, f"with {_PAIRS}, {_WAYS} select a as node, count(*) as degree from ways group by 1"),
     "graph_signal_stats": (_signals, "select signal, count(*) as n from (select distinct least(source_id, target_id) as u, greatest(source_id, target_id) as v, edge_signals, unnest(edge_signals) as signal from graph_edges) group by 1"),
     "type_affinity_edges": (_affinity, f"with {_PAGES}, {_PAIRS} select u, v, p.page_type from pairs join pages p on p.page_id = u join pages q on q.page_id = v where p.page_type = q.page_type"),
     "graph_expand_1hop": (_expand, f"with {_SEEDS} select query_id, page_id, seed_id, weight, place::int as place from cand where place <= 10"),
     "graph_validate": (_validated, f"""with {_SEEDS}, h as (select query_id, page_id, max((retrieval_method = 'bm25')::int) as sparse from rows where retrieval_method in ('bm25', 'vector') group by 1, 2)
         select query_id, page_id, seed_id, place::int as place from cand join h using (query_id, page_id)
-        where place <= 10 and (sparse = 1 or len(list_filter(signals, lambda s: s not in ('adamic_adar', 'type_affinity') and not contains(s, 'inferred'))) > 0 or coalesce(len(signals), 0) = 0)"""),
+        where place <= 10 and (sparse = 1 or len(list_filter(signals, lambda s: lower(s) not in ('adamic_adar', 'type_affinity') and not contains(lower(s), 'inferred'))) > 0 or coalesce(len(signals), 0) = 0)"""),
     "connected_components": (_components, _COMPONENTS + " select node, component from comp"),
     "graph_communities": (_communities, None),
-    "community_reports": (_reports, _COMPONENTS + """, m as (select component, count(*) as n_members, min(node) as first_member from comp group by 1),
-        e as (select component, count(*) as n from pairs join comp on node = u group by 1)
-        select m.component as community, n_members, first_member, coalesce(n, 0) as n_edges from m left join e using (component)"""),
+    "community_reports": (_reports, _NUMBERED + """,
+        e as (select community_id, count(*) as n from pairs join num on node = u group by 1), t as (select community_id, count(*) as n_members, 'Community ' || community_id as title, list_sort(list(node)) as names from num group by 1),
+        x as (select t.*, title || ': ' || array_to_string(names[1:1000], ', ') || case when n_members > 1000 then ', and ' || (n_members - 1000) || ' more' else '' end as text from t)
+        select x.community_id, n_members, coalesce(n, 0) as n_edges, title, text, sha256(text) as content_hash, greatest(1, length(text) // 4)::bigint as token_count from x left join e using (community_id)"""),
+    "report_freshness": (_fresh, _NUMBERED + """,
+        live as (select page_id from (select page_id, deleted_at, row_number() over (partition by page_id order by updated_at desc) as n from wiki_pages) where n = 1 and deleted_at is null)
+        select community_id, 'membership' as reason from num group by 1 having count(*) <> count(*) filter (node in (select page_id from live))"""),
+    "report_selection": (_chosen, _NUMBERED + """,
+        t as (select community_id, lower('Community ' || community_id || ' Community ' || community_id || ': ' || string_agg(node, ', ' order by node)) as body, greatest(1, length('Community ' || community_id || ': ' || string_agg(node, ', ' order by node)) // 4) as size, count(*) as m from num group by 1),
+        q as (select distinct query_id, lower(page_id) as term from retrieved_pages where retrieval_method = 'fused'),
+        s as (select query_id, community_id, size, count(*) filter (contains(body, term)) as matches from q, t group by 1, 2, 3),
+        r as (select *, row_number() over (partition by query_id order by matches desc, community_id) as place from s),
+        f as (select a.query_id, a.place, a.community_id, a.matches, a.size, b.size as s1, c.size as s2 from r a left join r b on b.query_id = a.query_id and b.place = 1 left join r c on c.query_id = a.query_id and c.place = 2 where a.place <= 3),
+        g as (select *, s1 <= 4096 as k1, (case when s1 <= 4096 then s1 else 0 end) + s2 <= 4096 as k2 from f),
+        h as (select *, (case when k1 then s1 else 0 end) + (case when k2 then s2 else 0 end) as before3 from g)
+        select query_id, place::int as place, community_id, matches, size::bigint as token_count from h where case place when 1 then k1 when 2 then k2 else before3 + size <= 4096 end"""),
+    "entity_nodes": (_entities, f"""with {_PAGES},
+        n as (select node_id, any_value(title) as title from (select unnest([source_id, target_id]) as node_id from graph_edges) left join pages on page_id = node_id where node_id is not null group by 1),
+        a as (select distinct page_id as query_id, unnest([upper(title), regexp_extract(page_id, '([a-z]+_[a-z]\\d+)', 1), 'no such page']) as entity from wiki_pages),
+        w as (select distinct lower(entity) as name from a where entity <> ''),
+        x as (select name, min(node_id) as node_id from w join n on lower(node_id) = name or lower(title) = name group by 1),
+        p as (select name, min(node_id) as node_id from w join n on contains(lower(node_id), name) or contains(lower(title), name) where name not in (select name from x) group by 1)
+        select distinct query_id, entity, node_id from a join (select * from x union all select * from p) on name = lower(entity)"""),
+    "graph_neighbourhood": (_neighbourhood, f"with {_PAIRS}, {_WAYS} select a as page_id, count(*) as n, min(b) as first, max(b) as last from ways group by 1"),
+    "graph_evidence": (_evidence, f"with {_SEEDS}, {_PROVEN} select query_id, page_id, place::int as place, inferred as is_inferred, evidence from proven"),
+    "graph_merge": (_merged, f"""with {_SEEDS}, {_PROVEN},
+        fused as (select query_id, page_id, sum(1.0 / (60 + nth)) as rrf, min(nth) as first, string_agg(chunk_id, ',' order by nth, channel, chunk_id) as evidence, list(chunk_id) as ids from hits group by 1, 2),
+        direct as (select * from (select *, row_number() over (partition by query_id order by round(rrf, 12) desc, first, page_id) as rank from fused) where rank <= 5),
+        m as (select coalesce(d.query_id, p.query_id) as query_id, coalesce(d.page_id, p.page_id) as page_id, coalesce(rrf, 0) as rrf, (p.page_id is not null)::int as n_paths, d.evidence as own, d.ids, p.evidence as new, rank, place from direct d full join proven p on p.query_id = d.query_id and p.page_id = d.page_id)
+        select query_id, page_id, round(rrf, 8) as rrf, n_paths, concat_ws(',', own, case when own is null then new else nullif(array_to_string(list_filter(string_split(coalesce(new, ''), ','), lambda c: c <> '' and not list_contains(ids, c)), ','), '') end) as evidence,
+               row_number() over (partition by query_id order by rrf <= 0, round(rrf, 12) desc, coalesce(rank, 1073741824), place, page_id)::int as rank from m"""),
 }
