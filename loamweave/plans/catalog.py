@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamweave.plans import graph_queries, ingest_queries, retrieval_queries, text_queries
+from loamweave.plans import bundle_queries, graph_queries, ingest_queries, retrieval_queries, text_queries
 
-_PARTS = (text_queries, retrieval_queries, graph_queries, ingest_queries)
+_PARTS = (text_queries, retrieval_queries, bundle_queries, graph_queries, ingest_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

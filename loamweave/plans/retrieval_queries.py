@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamweave.functions import vectors
+from loamweave.functions.text import unicode_terms
 from loamweave.operators import context, dense, fulltext, fusion, metrics
 from loamweave.operators.stage import newest
 from loamweave.sources.tables import table
@@ -51,14 +52,6 @@ def _scores(spark, d):
     return near.select("query_id", F.col("id").alias("vec_id"), F.round(vectors.score(F.col("distance"), "cosine"), 5).alias("score"))
 
 
-def _recall(spark, d):
-    """Cosine results of the vectors cut to half their components, held against the exact ones."""
-    data = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    half = data.withColumn("vector", F.slice("vector", 1, 32))
-    of = lambda x: x.where("id % 20 = 0").withColumnRenamed("id", "query_id")
-    return dense.recall(dense.topk(data, of(data), 10), dense.topk(half, of(half), 10, dim=32), 10).select("query_id", F.round("recall", 6).alias("recall"))
-
-
 def _multi(spark, d):
     """Hits of all queries of one label as one list: the best distance of each vector."""
     data = table(spark, d, "embeddings")
@@ -74,9 +67,9 @@ def _hits(spark, d):
     The terms of a document's query are those of its title, or of its text where the title has none.
     """
     docs = table(spark, d, "documents", "doc_id", "text", "title")
-    words = lambda c: F.array_join(F.filter(F.split(F.lower(F.regexp_replace(c, r"[^A-Za-z]+", " ")), " "), lambda w: w != ""), " ")
+    words = lambda c: F.array_join(unicode_terms(F.coalesce(F.col(c), F.lit(""))), " ")
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce(F.nullif(words("title"), F.lit("")), words("text")).alias("query"))
-    sparse = fulltext.search(docs.select("doc_id", words("text").alias("words")), asked, 80, "doc_id", "words")
+    sparse = fulltext.search(docs.where("text is not null").select("doc_id", words("text").alias("words")), asked, 80, "doc_id", "words")
     vec = table(spark, d, "embeddings")
     data = vec.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     near = dense.topk(data, data.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 80)
@@ -170,15 +163,22 @@ _FAR = {
     "l2": "list_distance(qv::double[], embedding::double[])",
 }
 _TOP = "select query_id, vec_id, round(distance, 5) as distance, rank::int as rank from t where rank <= 10"
+def _terms(x):
+    """SQL of the words of letters and digits and the pairs of Chinese characters of a text."""
+    pairs = f"flatten(list_transform(regexp_extract_all({x}, '[一-鿿]+'), lambda r: list_transform(generate_series(1, length(r) - 1), lambda i: r[i:i + 1])))"
+    return f"list_concat(regexp_extract_all(lower(regexp_replace({x}, '[一-鿿]+', ' ', 'g')), '[\\p{{L}}\\p{{N}}_]+'), {pairs})"
+
+
 _HITS = f"""
-    with docs as (select doc_id, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '') as w from documents where text is not null),
+    with docs as (select doc_id, {_terms('text')} as w from documents where text is not null),
     size as (select count(*) as n, avg(len(w)) as mean from docs),
-    asked as (select distinct query_id, unnest(string_split(lower(query), ' ')) as term from {_ASKED_SQL} where query_id <= 3),
+    q as (select doc_id as query_id, {_terms("coalesce(title, '')")} as a, {_terms("coalesce(text, '')")} as b from documents where doc_id % 20 = 0),
+    asked as (select distinct query_id, unnest(case when len(a) > 0 then a else b end) as term from q),
     tf as (select doc_id, length, term, count(*) as tf from (select doc_id, len(w) as length, unnest(w) as term from docs) where term in (select term from asked) group by all),
     df as (select term, count(*) as df from tf group by 1),
     scored as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as score from tf join df using (term) join asked using (term), size group by 1, 2),
     sparse as (select query_id, doc_id as page_id, 'sparse' as channel, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from scored),
-    d as (select a.vec_id as query_id, b.vec_id as page_id, {_FAR['cosine'].replace('qv', 'a.embedding').replace(', embedding', ', b.embedding')} as distance from embeddings a, embeddings b where a.vec_id in (1, 2, 3)),
+    d as (select a.vec_id as query_id, b.vec_id as page_id, {_FAR['cosine'].replace('qv', 'a.embedding').replace(', embedding', ', b.embedding')} as distance from embeddings a, embeddings b where a.vec_id % 20 = 0),
     dense as (select query_id, page_id, 'dense' as channel, row_number() over (partition by query_id order by round(distance, 9), page_id) as rank from d),
     hits as (select * from sparse where rank <= 80 union all select * from dense where rank <= 80),
     fused as (select query_id, page_id, sum(1.0 / (60 + rank)) as rrf, min(rank) filter (channel = 'sparse') as sparse_rank, min(rank) filter (channel = 'dense') as dense_rank, min(rank) as first_rank from hits group by 1, 2),
@@ -197,11 +197,6 @@ QUERIES = {
         select term, count(distinct chunk_id) as df, count(*) as cf from p where term <> '' group by 1"""),
     **{f"dense_topk_{m}": (_dense(m), _NEAR.format(which="vec_id % 20 = 0", far=_FAR[m], select=_TOP)) for m in _FAR},
     "vector_scores": (_scores, _NEAR.format(which="vec_id % 20 = 0", far=_FAR["cosine"], select="select query_id, vec_id, round(least(1, greatest(0, 1 - distance / 2)), 5) as score from t where rank <= 10")),
-    "ann_recall": (_recall, """
-        with q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 20 = 0),
-        r as (select query_id, vec_id, list_cosine_similarity(qv, embedding::double[]) as a, list_cosine_similarity(qv[1:32], embedding[1:32]::double[]) as b from q, embeddings),
-        t as (select *, row_number() over (partition by query_id order by round(1 - a, 9), vec_id) as ra, row_number() over (partition by query_id order by round(1 - b, 9), vec_id) as rb from r)
-        select query_id, round(count(*) filter (rb <= 10) / 10, 6) as recall from t where ra <= 10 group by 1"""),
     "dense_multi_query": (_multi, _NEAR.format(which="vec_id % 20 = 0", far=_FAR["cosine"], select="select l.label, t.vec_id, min(round(distance, 5)) as distance from t join embeddings l on l.vec_id = t.query_id where rank <= 10 group by 1, 2")),
     "best_hits": (_best, "select query_id, page_id, max(score) as score from retrieved_pages where score is not null group by 1, 2"),
     "neighbor_chunks": (_neighbours, """
