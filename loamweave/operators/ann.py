@@ -94,7 +94,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, exact: boo
                     zero = np.array([not np.any(v) for v in pdf["vector"]], dtype=bool)
                     met = ~met & (1 - least <= pdf["far"].to_numpy()[:, None] + 1e-9) | ~met & zero[:, None]
                 row, cell = np.nonzero(met & (widest >= 0)[None, :])
-                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[row], "qv": [pdf["vector"].iloc[i] for i in row], "cell": cell.astype(np.int32)})
+                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[row], "qv": pd.Series([pdf["vector"].iloc[i] for i in row], dtype=object), "cell": cell.astype(np.int32)})
 
         return run
 
