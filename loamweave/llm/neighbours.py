@@ -37,7 +37,7 @@ PLANES = 4
 #: Rows of a group of cells in one block, and queries to it.
 DATA_BLOCK, QUERY_BLOCK = 8192, 16_384
 #: Elements of one matrix of estimates.
-ELEMENTS = 1 << 21
+ELEMENTS = 1 << 19
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -189,8 +189,24 @@ def reachable(units: np.ndarray, floor: np.ndarray, centroids: np.ndarray, least
     return a * b + w * np.sqrt(np.maximum(1 - a**2, 0)) >= floor[:, None]
 
 
-def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES) -> DataFrame:
-    """(id, other, cosine, place) of the k most similar other ids of every id, ties by id.
+def _units(vectors: DataFrame, dim: int) -> DataFrame:
+    """(id, unit) of the usable vectors: packed 32-bit floats of length 1."""
+
+    def run(batches):
+        for pdf in batches:
+            fits = np.array([v is not None and len(v) == dim for v in pdf["vector"]], dtype=bool)
+            x = np.array(pdf["vector"][fits].tolist(), dtype=np.float64).reshape(-1, dim)
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            x = x[good]
+            x /= np.abs(x).max(1, keepdims=True)  # keeps the squares in range
+            unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) + np.float32(0)
+            yield pd.DataFrame({"id": pdf["id"][fits][good], "unit": [u.tobytes() for u in unit]})
+
+    return vectors.where("id is not null and vector is not null").select("id", "vector").mapInPandas(run, f"id {dict(vectors.dtypes)['id']}, unit binary")
+
+
+def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES, at_least: float = -1.0) -> DataFrame:
+    """(id, other, cosine, place) of the k most similar other ids of every id, ties by id, of cosine ``at_least``.
 
     vectors: (id, vector); unusable vectors and null ids take no part, of rows that
     repeat an id one counts. No more than ``k`` rows an id come out; ids of exact copies
@@ -198,21 +214,20 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
     """
     spark: SparkSession = vectors.sparkSession
     kind = dict(vectors.dtypes)["id"]
-    rows = vectors.where("id is not null").where(usable(F.col("vector"), dim)).groupBy("id").agg(F.max("vector").alias("vector"))
-    whole = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    units = rows.select("id", F.transform("vector", lambda x: (x / whole).cast("float")).alias("unit"))
-    members = stage(units.withColumn("key", F.xxhash64("unit")))
+    rows = stage(_units(vectors, dim).withColumn("key", F.xxhash64("unit")))
+    members = stage(rows.groupBy("id").agg(F.max("key").alias("key")))
     copies = Window.partitionBy("key").orderBy("id")
     firsts = members.select("key", "id").withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1)
     heads = firsts.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
-    reps = members.groupBy("key").agg(F.first("unit").alias("unit"))
-    n = members.select("key").distinct().count()
+    kept = members.select("key").distinct()
+    reps = rows.groupBy("key").agg(F.first("unit").alias("unit")).join(kept, "key", "left_semi")
+    n = kept.count()
     if not n:
         return spark.createDataFrame([], f"id {kind}, other {kind}, cosine double, place int")
     part = min(1.0, 1.2 * SAMPLE / n)
-    drawn = members.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("key", "unit").dropDuplicates(["key"]).limit(SAMPLE).toPandas()
+    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("key", "unit").dropDuplicates(["key"]).limit(SAMPLE).toPandas()
     drawn = drawn.sort_values("key")
-    sample = np.array(drawn["unit"].tolist(), dtype=np.float32).reshape(-1, dim)
+    sample = np.frombuffer(b"".join(drawn["unit"]), dtype=np.float32).reshape(-1, dim)
     if not len(sample):
         sample = np.eye(1, dim, dtype=np.float32)
     centroids = fit_centroids(sample, min(CELLS, int(np.ceil(np.sqrt(n)))))
@@ -224,11 +239,9 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
         for pdf in batches:
             if not len(pdf):
                 continue
-            unit = np.array(pdf["unit"].tolist(), dtype=np.float32)
+            unit = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float32).reshape(-1, dim)
             closeness = unit @ centroids.T
             near = np.argsort(-closeness, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            raw = unit.tobytes()
-            width = 4 * dim
             codes = [b""] * len(unit)
             length, fit = np.zeros(len(unit)), np.ones(len(unit))
             for c in np.unique(near[:, 0]):
@@ -237,7 +250,7 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
                 for i, b in zip(at, bits):
                     codes[i] = b.tobytes()
             yield pd.DataFrame({
-                "key": pdf["key"], "unit": [raw[i * width : (i + 1) * width] for i in range(len(unit))], "cell": near[:, 0], "closeness": closeness[np.arange(len(unit)), near[:, 0]].astype(float),
+                "key": pdf["key"], "unit": pdf["unit"], "cell": near[:, 0], "closeness": closeness[np.arange(len(unit)), near[:, 0]].astype(float),
                 "cells": list(near), "bits": codes, "length": length, "fit": fit,
             })
 
@@ -272,8 +285,8 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
                 start = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(group[cell]) != 0)])) if len(row) else np.zeros(0, int)
                 head = row[start]
                 yield pd.DataFrame({
-                    "qgrp": group[cell[start]] if len(row) else np.zeros(0, np.int32), "qkey": pdf["key"].to_numpy()[head], "qunit": [pdf["unit"].iloc[i] for i in head],
-                    "qcells": [c.tobytes() for c in np.split(cell, start[1:])] if len(row) else [], "floor": pdf["floor"].to_numpy()[head] if floors else np.full(len(head), -2.0),
+                    "qgrp": group[cell[start]] if len(row) else np.zeros(0, np.int32), "qkey": pdf["key"].to_numpy()[head], "qunit": pd.Series([pdf["unit"].iloc[i] for i in head], dtype=object),
+                    "qcells": pd.Series([c.tobytes() for c in np.split(cell, start[1:])] if len(row) else [], dtype=object), "floor": pdf["floor"].to_numpy()[head] if floors else np.full(len(head), -2.0),
                 })
 
         return run
@@ -298,7 +311,8 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
 
     def round_(asked: DataFrame, floors: bool) -> DataFrame:
         """Pairs (key, near, cosine) of one round of probing; a group with many queries or members is met in blocks."""
-        travelling = stage(asked.mapInPandas(groups_met(floors), "qgrp int, qkey long, qunit binary, qcells binary, floor double"))
+        travelling = asked.mapInPandas(groups_met(floors), "qgrp int, qkey long, qunit binary, qcells binary, floor double")
+        travelling = stage(travelling) if floors else travelling  # the few of the second round, behind a join
         met = {r[0]: r[1] for r in travelling.groupBy("qgrp").count().collect()}  # a row a group
         blocks = spark.createDataFrame([(int(g), int(parts[g]), max(1, -(-int(c) // QUERY_BLOCK))) for g, c in met.items()], "qgrp int, d int, q int")
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -311,12 +325,12 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES)
     first = stage(top(round_(coded.select("key", "unit", "cells"), False)))
     floor = first.groupBy("key").agg(F.min(F.when(F.col("place") == k, F.col("cosine"))).alias("floor"))
     asked = coded.select("key", "unit", "cells").join(floor, "key", "left").fillna(-1.0, ["floor"])
-    best = stage(top(first.select("key", "near", "cosine").unionByName(round_(asked, True))))
+    best = top(first.select("key", "near", "cosine").unionByName(round_(asked, True))).where(F.col("cosine") >= at_least)
     around = (
         best.join(heads.withColumnRenamed("key", "near"), "near")
         .groupBy("key").agg(F.collect_list(F.struct("cosine", "ids")).alias("around"))  # k entries of k + 1 ids
     )
-    own = heads.select("key", "ids")
+    own = heads.join(around.select("key"), "key", "left_semi").unionByName(heads.where(F.size("ids") > 1)).distinct() if at_least > -1.0 else heads
     near = own.join(around, "key", "left").select(
         "key",
         F.concat(
@@ -340,7 +354,7 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs with a cosine of at least 0.9 where one is among the five most similar to the other."""
-    close = similar(_chunk_vectors(spark, folder)).where("cosine >= 0.9 - 1e-9")
+    close = similar(_chunk_vectors(spark, folder), at_least=0.9 - 1e-9)
     return close.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
