@@ -176,10 +176,6 @@ def test_expansion_needs_text_hits(spark):
     assert rows(near.select("page_id")) == [("b",), ("c",), ("d",)] and rows(graph.validated(near, hits).select("page_id")) == [("b",)]
 
 
-def test_report_selection_skips_what_does_not_fit():
-    assert graph.select_reports([("a", 3, 90), ("b", 2, 500), ("c", 1, 10), ("d", 0, 1)], 5, 100) == ["a", "c"]
-
-
 PAGE = "intro 一。二！\n\n# Head\n\ntext [[a; b]] end; more\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\nx = 1\n\ny = 2\n```\n\n- one\n  two\n\n## Sub\n> quote\n" + "word " * 700
 
 
@@ -246,3 +242,16 @@ def test_scores_and_policy(spark):
     with pytest.raises(ValueError):
         dense.policy({10: 1.0}, 0)
     assert len(one.select(keys.chunk_id(F.lit("p"), F.lit("dense"), F.lit("a  b"), F.lit(0))).first()[0]) == 19
+
+
+def test_a_hot_key_is_split_over_tasks(spark):
+    """A third of all rows of one key: no task of the running total, the percentiles and the neighbours holds it whole."""
+    df = spark.range(30_000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).withColumn("v", (F.col("id") % 1000).cast("double")).repartition(8)
+    total = running_total(df, ["k"], ["id"], F.lit(1), "n", 16).where("k = 0")
+    assert total.select("n").distinct().count() == 10_000
+    spread = df.where("k = 0").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(16))).groupBy("b").count()
+    sizes = [r["count"] for r in spread.collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * sorted(sizes)[8]
+    got = {r.k: r.value for r in metrics.nearest_rank(df.where("k = 0").unionByName(df.where("k != 0").withColumn("k", F.lit(1).cast("long"))), "k", "v", [50]).collect()}
+    v = sorted(float(i % 1000) for i in range(0, 30_000, 3))
+    assert got[0] == v[round(0.5 * 9999)]

@@ -295,3 +295,20 @@ def test_stream_ingest_only_chunks_changes(spark, tmp_path):
     write("2.json", [page("a", "one two"), page("b", "changed"), page("c", "new")])
     ingest.ingest(ingest.page_stream(spark, src), out, cp).awaitTermination(120)
     assert {r.page_id for r in spark.read.parquet(f"{out}/chunks/batch_1").collect()} == {"b", "c"}
+
+
+def test_stream_folders_are_put_together_and_failures_are_raised(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACT", 2)
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    Path(src).mkdir()
+    page = lambda p, c: {"page_id": p, "title": p, "content": c, "updated_at": "2024-01-01T00:00:00"}
+    for n in range(4):
+        (Path(src) / f"{n}.json").write_text("\n".join(json.dumps(r) for r in [page("a", "same"), page(f"p{n}", "new")]))
+        ingest.ingest(ingest.page_stream(spark, src), out, cp).awaitTermination(120)
+    assert sorted(p.name for p in (Path(out) / "manifest").iterdir() if p.is_dir()) == ["batch_2", "batch_3"]
+    assert {r.page_id for r in spark.read.parquet(f"{out}/chunks/batch_3").collect()} == {"p3"}
+    for f in (Path(out) / "manifest" / "batch_3").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    (Path(src) / "9.json").write_text(json.dumps(page("z", "x")))
+    with pytest.raises(Exception):  # noqa: B017  a manifest that can't be read is no empty one
+        ingest.ingest(ingest.page_stream(spark, src), out, cp).awaitTermination(120)
