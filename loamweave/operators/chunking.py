@@ -138,13 +138,20 @@ def _prefix(path: list[str]) -> str:
     return whole[:half] + " ... " + whole[-half:]
 
 
-def _fit_tokens(text: str, a: int, b: int, most: int, tokens: Callable[[str], int]) -> Iterator[tuple[int, int]]:
-    """Parts of a range within a token limit, at blanks, characters or links; an atom over the limit is cut."""
+def _fit_tokens(text: str, a: int, b: int, most: int, tokens: Callable[[str], int], overlap: int = DENSE_OVERLAP) -> Iterator[tuple[int, int]]:
+    """Parts of a range within a token limit, at blanks, characters or links; an atom over the limit is cut.
+
+    A part begins with the last whole atoms of the part before, up to ``overlap`` tokens,
+    as far as its own first atom still fits.
+    """
     start = end = a
+    atoms: list[int] = []  # where the atoms of the part start
     for m in _ATOM.finditer(text, a, b):
         if tokens(text[start : m.end()]) > most and end > start:
             yield start, end
-            start = end
+            kept = [x for x in atoms if x > start and tokens(text[x:end]) <= overlap and tokens(text[x : m.end()]) <= most]
+            start, atoms = min(kept, default=end), kept
+        atoms.append(m.start())
         end = m.end()
         while tokens(text[start:end]) > most:
             low, high = 1, end - start

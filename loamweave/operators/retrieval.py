@@ -181,12 +181,14 @@ def bundles(items: DataFrame, plans: DataFrame, base: int = 4096, mode: str | No
 def one_pass(plans: DataFrame, index: dict[str, DataFrame], k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(candidates, counts): direct and graph candidates of each plan, merged, and (query_id, n_sparse, n_dense, n_direct, n_graph).
 
-    plans: (query_id, query, entities, vectors array<array<float>>). index: the tables
+    plans: (query_id, query, entities, vectors array<array<float>>) and, if hits are to be
+    of some page types only, page_types, empty for all. index: the tables
     chunks (chunk_id, page_id, fts_text, text, chunk_kind, page_type, ...), vectors (id =
     chunk_id, vector), edges and nodes of ``publish``ed builds; edges may be left out.
     """
     chunks = index["chunks"].where("chunk_id is not null")
-    home = chunks.groupBy("chunk_id").agg(F.max("page_id").alias("page_id"), F.max("text").alias("text"))
+    kind = F.max("page_type") if "page_type" in chunks.columns else F.lit(None).cast("string")
+    home = chunks.groupBy("chunk_id").agg(F.max("page_id").alias("page_id"), F.max("text").alias("text"), kind.alias("page_type"))
     sparse = fulltext.search(chunks, plans.select("query_id", "query"), SEARCH_HITS, "chunk_id", "fts_text").select("query_id", "chunk_id", "score", "rank")
     asked = plans.select("query_id", F.posexplode_outer("vectors").alias("list_no", "vector")).where("vector is not null")
     tagged = asked.select(F.struct("query_id", "list_no").alias("key"), "vector").select(F.to_json("key").alias("query_id"), "vector", F.col("key").alias("asked"))
@@ -194,7 +196,10 @@ def one_pass(plans: DataFrame, index: dict[str, DataFrame], k: int = 5) -> tuple
     near = dense.topk(index["vectors"], tagged.select("query_id", "vector"), SEARCH_HITS, "cosine", dim).join(tagged.select("query_id", "asked"), "query_id")
     far = near.select(F.col("asked.query_id").alias("query_id"), F.lit("dense").alias("channel"), F.col("asked.list_no").alias("list_no"), F.col("rank").alias("position"), F.col("id").alias("chunk_id"), (1 - F.col("distance") / 2).alias("score"))
     lists = far.unionByName(sparse.select("query_id", F.lit("sparse").alias("channel"), F.lit(0).alias("list_no"), F.col("rank").alias("position"), "chunk_id", "score"))
-    hits = stage(list_ranks(lists.join(home.select("chunk_id", "page_id"), "chunk_id")))
+    placed = lists.join(home.select("chunk_id", "page_id", "page_type"), "chunk_id")
+    if "page_types" in plans.columns:
+        placed = placed.join(plans.select("query_id", "page_types"), "query_id").where((F.size(F.coalesce("page_types", F.array().cast("array<string>"))) == 0) | F.array_contains("page_types", F.col("page_type")))
+    hits = stage(list_ranks(placed))
     direct = stage(fusion.page_rrf(hits, max(k, SEEDS), evidence=2 * SEARCH_HITS).select("query_id", "page_id", "rrf", "sparse_rank", "dense_rank", F.col("evidence").cast(EVIDENCE).alias("evidence"), "rank"))
     counted = hits.groupBy("query_id").agg(F.sum((F.col("channel") == "sparse").cast("int")).alias("n_sparse"), F.sum((F.col("channel") == "dense").cast("int")).alias("n_dense"))
     kept = direct.where(F.col("rank") <= k)
@@ -215,7 +220,7 @@ def restricted_hits(wanted: DataFrame, plans: DataFrame, asked: DataFrame, chunk
     """(query_id, page_id, chunk_id, channel, score, text) of wanted pages (query_id, page_id): chunks with a term of the query, and by cosine those with vectors; statistics are those of all chunks."""
     from loamweave.functions.vectors import dot, finite
 
-    inside = wanted.join(home, "page_id")
+    inside = wanted.join(home.select("chunk_id", "page_id"), "page_id")
     terms = fulltext.terms_of(F.col("query"))
     lengths = fulltext.document_lengths(chunks, "chunk_id", "fts_text")
     size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
 from html.parser import HTMLParser
@@ -222,3 +223,18 @@ def plain_page_chunks(pages: DataFrame) -> DataFrame:
     seed = F.concat("path", F.decode(F.unhex(F.lit("00")), "UTF-8"), body)
     rows = pages.where("path is not null and content is not null")
     return rows.select(F.concat(F.lit("sparse:"), F.sha2(seed, 256)).alias("chunk_id"), F.col("path").alias("page_id"), F.when(head != "", head).otherwise(name).alias("title"), body.alias("text")).where("text != ''")
+
+
+def graph_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, path, title, page_type, sources, links) of the pages a graph is built of: a source given as one text is a list of one, links are cut at |."""
+    rows = pages(spark, folder)
+    return rows.select("page_id", "path", "title", "page_type", "sources", F.transform("links", lambda x: F.trim(F.substring_index(x, "|", 1))).alias("links"))
+
+
+def safe_asset(root: str, key: str | None) -> str | None:
+    """Real path of an asset below root/assets; None if it is missing, no file, or a link leads it elsewhere."""
+    if not key:
+        return None
+    home = os.path.realpath(os.path.join(root, "assets"))
+    real = os.path.realpath(os.path.join(root, key))
+    return real if os.path.commonpath([home, real]) == home and os.path.isfile(real) else None

@@ -255,3 +255,9 @@ def test_a_hot_key_is_split_over_tasks(spark):
     got = {r.k: r.value for r in metrics.nearest_rank(df.where("k = 0").unionByName(df.where("k != 0").withColumn("k", F.lit(1).cast("long"))), "k", "v", [50]).collect()}
     v = sorted(float(i % 1000) for i in range(0, 30_000, 3))
     assert got[0] == v[round(0.5 * 9999)]
+
+
+def test_forced_dense_parts_overlap():
+    text_ = "word " * 400
+    got = [r for r in chunking.chunk_page("p", "T", text_) if r["chunk_kind"] == "dense"]
+    assert len(got) > 2 and all(0 < a["end_char"] - b["start_char"] <= 4 * chunking.DENSE_OVERLAP + 3 for a, b in zip(got, got[1:])) and all(r["token_count"] <= chunking.DENSE_MOST for r in got)

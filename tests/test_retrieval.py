@@ -264,3 +264,76 @@ def test_report_selection_folds_in_order(spark):
     asked = spark.createDataFrame([(1, ["Alpha", "BETA", "alpha"]), (2, ["nothing"]), (3, None)], "query_id int, terms array<string>")
     got = rows(reports.select(reps, asked, 3, 100).select("query_id", "place", "community_id", "matches"))
     assert got[:2] == [(1, 1, 0, 2), (1, 3, 2, 1)] and [g[2] for g in got if g[0] == 2] == [0, 2]
+
+
+def _small_index(spark):
+    from loamweave.functions import embedding
+
+    bodies = {"camera": "# Camera\n\nThe camera reports code E4001 when the shutter is hot.", "radar": "The radar head needs a fresh calibration.", "cable": "The cable gland seals the housing."}
+    pages = spark.createDataFrame([(f"w/{k}.md", f"w/{k}.md", k.title(), "concept" if k != "cable" else "product", v, "1") for k, v in bodies.items()], "page_id string, path string, title string, page_type string, content string, sha256 string")
+    chunks = indexing.chunk_rows(pages.drop("sha256"))
+    vectors = embedding.embedded(chunks.where("chunk_kind = 'dense'"), None, lambda t: embedding.hashed(t, 32)).select(F.col("chunk_id").alias("id"), "vector")
+    edges = spark.createDataFrame([("w/camera.md", "w/radar.md", 1.0, ["direct_link"])], "source_id string, target_id string, weight double, edge_signals array<string>")
+    nodes = pages.select(F.col("page_id").alias("node_id"), "title", F.col("page_id").alias("node_no"))
+    return {"chunks": chunks, "vectors": vectors, "edges": edges, "nodes": nodes, "pages": pages, "dim": 32}
+
+
+def test_a_question_from_plan_to_json(spark, tmp_path):
+    import json
+
+    from loamweave.plans import answering
+    from loamweave.plans.planner import Context, Planner
+    from loamweave.sources import report_store
+
+    index, root = _small_index(spark), str(tmp_path)
+    got = answering.ask(spark, "E4001 camera", Planner(), index, k=2)
+    said = json.loads(got.to_json())
+    assert got.exit_code() == 0 and said["text"][0]["page_id"] == "w/camera.md" and said["status"] is None and "E4001" in got.markdown and said["token_count"] <= said["effective_tokens"]
+    assert answering.ask(spark, "cable camera", Planner(), index, Context(page_types=("product",))).items[0]["page_id"] == "w/cable.md"
+    found = answering.ask(spark, "Radargerät", Planner(synonyms={"Radargerät": ("radar",)}), index | {"edges": None})
+    assert [i["page_id"] for i in found.items] == ["w/radar.md"]
+    members = spark.createDataFrame([("w/camera.md", 0), ("w/radar.md", 0)], "node string, community_id long")
+    ask = lambda **k: answering.ask(spark, "概述 camera", Planner(), index, report_root=root, members=members, snapshot=index["pages"], **k)
+    none = ask()
+    assert (none.status, none.action, none.exit_code(), none.items) == ("missing", answering.REBUILD, 2, [])
+    local = ask(local_fallback=True)
+    assert local.fallback and local.exit_code() == 0 and local.items and "missing" in local.warning
+    report_store.stage_set(reports.build(members, index["pages"], index["edges"]), root, "r1")
+    report_store.activate(spark, root, "r1")
+    fresh = ask()
+    assert fresh.status == "fresh" and fresh.items[0]["snippet"] == "Community 0: w/camera.md, w/radar.md" and fresh.exit_code() == 0
+    report_store.mark_stale(spark, root, "graph", "rebuilt")
+    assert ask().status == "stale" and ask().reasons == ["rebuilt"]
+
+
+def test_evaluation_end_to_end(spark, tmp_path):
+    from loamweave.plans import answering
+    from loamweave.plans.planner import Planner
+
+    gold = spark.createDataFrame([("E4001", "lookup", ["camera.md"], ["shutter is hot", "nowhere"]), ("calibration", "procedure", ["RADAR.md"], [])], "query string, intent string, relevant_pages array<string>, required_facts array<string>")
+    figures, detail = answering.evaluate(spark, gold, Planner(), _small_index(spark))
+    assert figures["page_recall"] == 1.0 and figures["evidence_recall"] == 0.75 and figures["mrr"] == 1.0 and figures["hit"] == 1.0 and figures["overflow"] == figures["budget_violations"] == figures["unsupported"] == 0
+    folder = str(tmp_path)
+    assert answering.save_evaluation(spark, folder, figures, detail, 3) == [] and answering.save_evaluation(spark, folder, figures, detail, 3, baseline=True) == []
+    assert answering.save_evaluation(spark, folder, figures | {"mrr": 0.5}, detail, 3) == ["mrr fell from 1.0 to 0.5"] and answering.save_evaluation(spark, folder, figures, detail, 4)[0].startswith("chunk schema")
+
+
+def test_counters_and_assets(spark, tmp_path):
+    import os
+
+    from loamweave.functions.tokens import DEFAULT, vocabulary
+    from loamweave.sources import vault
+
+    df = spark.createDataFrame([("x" * 9,), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(DEFAULT.column(df.t)).collect()] == [2, 1, None] and DEFAULT("") == 1
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if os.path.exists(path):
+        assert 1 <= vocabulary(path, "v")("The camera keeps the frame.") <= 12
+    (tmp_path / "assets").mkdir()
+    (tmp_path / "assets" / "a.png").write_bytes(b"x")
+    (tmp_path / "secret").write_bytes(b"x")
+    (tmp_path / "assets" / "link.png").symlink_to(tmp_path / "secret")
+    root = str(tmp_path)
+    assert vault.safe_asset(root, "assets/a.png") and not vault.safe_asset(root, "assets/link.png") and not vault.safe_asset(root, "assets/../secret") and not vault.safe_asset(root, "assets/gone.png") and not vault.safe_asset(root, None)
+    (tmp_path / "p.md").write_text("---\nsources: raw/x.pdf\n---\n[[A|b]]")
+    assert [(r.sources, r.links) for r in vault.graph_pages(spark, root).collect()] == [(["raw/x.pdf"], ["A"])]
