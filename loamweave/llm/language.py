@@ -4,7 +4,9 @@ Each language has probabilities for the pieces of a fixed public vocabulary. A w
 scored by the forward algorithm, which sums the probabilities of all its segmentations
 into pieces; the pieces' probabilities are fitted by expectation-maximisation on a
 bounded sample of labelled documents whose sentences are relabelled once by the model
-itself, so wrong labels do not last.
+itself, so wrong labels do not last. How sure a score makes, and how well a text of each
+language fits it, is measured on further documents, so a confidence is about the share of
+right answers, and text of a language the model has not learned gets a low one.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SPELLINGS = {
 }
 #: Labelled documents the model is fitted on, for each language, at most.
 SAMPLE = 120
+#: Further labelled documents the confidence is measured on, for each language, at most.
+CALIBRATION = 40
 ROUNDS = 3
 #: Share of one character among those of its script without a piece, and weight of a piece never seen.
 UNKNOWN, UNSEEN = 1e-3, 0.02
@@ -142,6 +146,44 @@ class Model:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((4096, table_.shape[1]), dtype=np.float32)
         self.weights = np.zeros(4096)
+        #: Heat of the posterior, and mean and deviation of a sentence's score for its length, by language.
+        self.heat, self.usual, self.spread = 1.0, np.full(table_.shape[1], -1e9), np.ones(table_.shape[1])
+
+    def posterior(self, scores: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Probabilities of the languages of sentences; they add up to less than 1 where no language fits."""
+        top = scores.max(1, keepdims=True)
+        out = np.exp((scores - top) / (self.heat * np.sqrt(np.maximum(1, 3 * weights))[:, None]))
+        out /= out.sum(1, keepdims=True)
+        best = scores.argmax(1)
+        z = (scores.max(1) / np.maximum(weights, 1e-9) - self.usual[best]) / self.spread[best]
+        return out / (1 + np.exp(-np.clip(z + 6, -50, 50)))[:, None]
+
+    def calibrate(self, texts: list[tuple[str, int]]) -> None:
+        """Fit heat, usual score and spread on (text, language number) of documents the model was not fitted on; whole texts that clearly are in another language than labelled are left out."""
+        held = []
+        for text, lang in texts:
+            found = [w for _, s, whole in sentences(text) if whole and (w := words(s))]
+            if not found:
+                continue
+            scores, weights = self.score_all(found)
+            good = weights >= 1
+            if good.any() and np.bincount(scores[good].argmax(1), minlength=len(LANGUAGES)).argmax() == lang:
+                held.append((scores[good], weights[good], np.full(int(good.sum()), lang)))
+        if not held:
+            return
+        scores, weights, truth = (np.concatenate(x) for x in zip(*held))
+        own = scores[np.arange(len(truth)), truth] / weights
+        for lang in np.unique(truth):
+            mine = own[(truth == lang) & (scores.argmax(1) == lang)]
+            if len(mine) > 20:
+                self.usual[lang], self.spread[lang] = mine.mean(), max(mine.std(), 1e-3)
+        rest = self.spread[self.usual > -1e8]
+        right = (scores.argmax(1) == truth).mean()
+        best = []
+        for heat in np.geomspace(0.2, 8, 24):
+            self.heat = heat
+            best.append((abs(self.posterior(scores, weights).max(1).mean() - right), heat))
+        self.heat = min(best)[1] if len(rest) else 1.0
 
     def forward(self, word: str) -> np.ndarray:
         """Log probability of the word, summed over all segmentations."""
@@ -275,8 +317,7 @@ def identify_all(texts: list[str | None], model: Model) -> list[tuple[str | None
     scores, weights = model.score_all(found)
     best = scores.argmax(1)
     top = scores.max(1)
-    posterior = np.exp((scores - top[:, None]) / np.sqrt(np.maximum(1, 3 * weights))[:, None])
-    posterior /= posterior.sum(1, keepdims=True)
+    posterior = model.posterior(scores, weights)
     whole = np.array(wholes) & (weights >= 1)
     out, start = [], 0
     for end in ends:
@@ -303,16 +344,18 @@ def label_code(label: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), stem)
 
 
-def fit_on(documents: DataFrame, per_language: int = SAMPLE) -> Model:
-    """Fit on at most ``per_language`` documents (key, text, lang) of each stated language, chosen by hash."""
+def fit_on(documents: DataFrame, per_language: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
+    """Fit on at most ``per_language`` documents (key, text, lang) of each stated language, chosen by hash, and calibrate on the next ``calibration``."""
     by = Window.partitionBy("code").orderBy(F.xxhash64("key"), "key")
     rows = (
         documents.select("key", label_code(F.col("lang")).alias("code")).where("code is not null")
-        .withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_language).select("key", "code")
+        .withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_language + calibration).select("key", "code", "n")
     )
-    drawn = documents.select("key", "text").join(F.broadcast(rows), "key").select("key", "code", "text").collect()  # 7 x per_language rows
+    drawn = documents.select("key", "text").join(F.broadcast(rows), "key").select("key", "code", "n", "text").collect()  # 7 x (per_language + calibration) rows
     drawn.sort(key=lambda r: str(r["key"]))
-    return fit([(s, LANGUAGES.index(r["code"])) for r in drawn if r["text"] for _, s, _ in sentences(r["text"])])
+    model = fit([(s, LANGUAGES.index(r["code"])) for r in drawn if r["text"] and r["n"] <= per_language for _, s, _ in sentences(r["text"])])
+    model.calibrate([(r["text"], LANGUAGES.index(r["code"])) for r in drawn if r["text"] and r["n"] > per_language])
+    return model
 
 
 #: The model last used in this Python worker, with the scores of the words it has met.
@@ -321,11 +364,12 @@ _LAST: dict[str, Model] = {}
 
 def _model(name: str, parts: tuple) -> Model:
     if name not in _LAST:
-        used, values, least, shape, pieces = parts
+        used, values, least, shape, pieces, heat, usual, spread = parts
         whole = np.broadcast_to(least, shape).copy()
         whole[used] = values
         _LAST.clear()
         _LAST[name] = Model(whole, Pieces(pieces=pieces))
+        _LAST[name].heat, _LAST[name].usual, _LAST[name].spread = heat, usual, spread
     return _LAST[name]
 
 
@@ -334,7 +378,7 @@ def detect(texts: DataFrame, model: Model) -> DataFrame:
     name = uuid.uuid4().hex
     least = model.table[:-SCRIPTS].min(0)
     used = np.flatnonzero((np.abs(model.table / least - 1) > 1e-4).any(1))  # the sample's pieces
-    shared = texts.sparkSession.sparkContext.broadcast((used, model.table[used], least, model.table.shape, list(model.pieces.index)))  # bounded by the vocabulary
+    shared = texts.sparkSession.sparkContext.broadcast((used, model.table[used], least, model.table.shape, list(model.pieces.index), model.heat, model.usual, model.spread))  # bounded by the vocabulary
 
     def run(batches):
         own = _model(name, shared.value)

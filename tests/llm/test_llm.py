@@ -66,6 +66,35 @@ def test_main_language_and_paragraphs(model):
     assert all(0 <= g[1] <= 1 for g in got)
 
 
+def test_confidence_is_about_the_share_of_right_answers(model):
+    rng = random.Random(3)
+    vocab = {c: language.words(t) for c, t in (("en", EN), ("de", DE))}
+    docs = []
+    for _ in range(60):
+        lang = rng.choice(["en", "de"])
+        other = "de" if lang == "en" else "en"
+        docs.append((" ".join(" ".join(rng.choice(vocab[lang] if rng.random() < 0.6 else vocab[other]) for _ in range(4)) + "." for _ in range(9)), language.LANGUAGES.index(lang)))
+    import copy
+
+    own = copy.copy(model)
+    own.calibrate(docs[:40])
+    found = [(language.words(s), lang) for t, lang in docs[40:] for _, s, _ in language.sentences(t)]
+    scores, weights = own.score_all([f for f, _ in found])
+    posterior = own.posterior(scores, weights)
+    right = np.mean(scores.argmax(1) == [lang for _, lang in found])
+    assert abs(posterior.max(1).mean() - right) < 0.12
+
+
+def test_unknown_languages_are_not_trusted(model):
+    import copy
+
+    own = copy.copy(model)
+    own.usual, own.spread = model.usual.copy(), model.spread.copy()
+    own.calibrate([(" ".join([t] * 3), language.LANGUAGES.index(c)) for c, t in (("en", EN), ("de", DE)) for _ in range(6)])
+    sure = lambda t: language.identify_all([t], own)[0][1]
+    assert sure(EN) > 0.9 and sure("Kamera zachowuje ostatnią poprawną klatkę. Równomiernie dokręć cztery śruby. Czujnik jest czysty.") < 0.5
+
+
 def test_labels_and_detection_in_spark(spark, model):
     df = spark.createDataFrame([("EN-us",), ("Chinese",), (" ",), ("n/a",), (None,), ("deu",)], "lang string")
     assert [r[0] for r in df.select(language.label_code(F.col("lang"))).collect()] == ["en", "zh", None, None, None, "de"]
