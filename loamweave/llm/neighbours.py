@@ -132,10 +132,12 @@ class Nearest:
             if open_.any():
                 low = np.where(own[open_], -4, guess[open_] - error[open_])
                 floor[open_] = np.partition(low, low.shape[1] - keep, axis=1)[:, low.shape[1] - keep]
-            row, col = np.nonzero((guess + error >= floor[:, None]) & ~own)
-            if 32 * len(row) > guess.size:  # many in few rows: their products at once, else one by one
-                close = (q @ data.T)[row, col] >= floor_of[row] - 1e-5
-                row, col = row[close], col[close]
+            left = (guess + error >= floor[:, None]) & ~own
+            if 32 * np.count_nonzero(left) > left.size:  # many in few rows: their products at once, of which the best go on
+                product = np.where(left, q @ data.T, np.float32(-4))
+                best = np.partition(product, product.shape[1] - keep, axis=1)[:, product.shape[1] - keep]
+                left = product >= np.maximum(np.maximum(best, floor_of) - 1e-5, -2)[:, None]
+            row, col = np.nonzero(left)
             exact = np.einsum("ij,ij->i", q[row].astype(np.float64), data[col].astype(np.float64))
             good = exact >= floor_of[row] - 1e-9
             self._add(rows[row[good]], ids[col[good]], exact[good])
@@ -303,10 +305,21 @@ def similar(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES,
         cells = [np.frombuffer(c, dtype=np.int32) for c in left["qcells"]]
         flat, owner = np.concatenate(cells), np.repeat(np.arange(len(cells)), [len(c) for c in cells])
         best = Nearest(left["qkey"].to_numpy(), left["floor"].to_numpy(), k)
-        for c in np.unique(flat):
-            at = np.flatnonzero(xc == c)
-            if len(at):
-                best.meet(owner[flat == c], q, x[at], xk[at], bits[at], length[at], fit[at], centroids[c], turn)
+        close = np.einsum("ij,ij->i", q[owner], centroids[flat])
+        order = np.lexsort((-close, owner))
+        first = np.zeros(len(flat), bool)
+        first[order[np.concatenate([[True], np.diff(owner[order]) != 0])]] = True
+        widest = np.arccos(np.clip(plan.value[2], -1, 1))  # of a cell's members to its centroid
+        for later in (False, True):  # the closest cell of each query, then those that no angle rules out
+            if later:
+                nearest = np.cos(np.maximum(0.0, np.arccos(np.clip(close, -1, 1)) - widest[flat]))
+                todo = ~first & (nearest + 1e-6 >= best.floor[owner])
+            else:
+                todo = first
+            for c in np.unique(flat[todo]):
+                at = np.flatnonzero(xc == c)
+                if len(at):
+                    best.meet(owner[todo & (flat == c)], q, x[at], xk[at], bits[at], length[at], fit[at], centroids[c], turn)
         return pd.DataFrame({"key": best.keys[best.row], "near": best.near, "cosine": best.cosine})
 
     def round_(asked: DataFrame, floors: bool) -> DataFrame:
