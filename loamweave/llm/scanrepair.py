@@ -75,7 +75,9 @@ def line_features(lines: list[str]) -> tuple[list[int], list[list[int]], list[in
     """Numbers of the non-empty lines, their hashed features, of which the last is how often it repeats, and how often each repeats in the text."""
     real = [i for i, x in enumerate(lines) if x.strip()]
     width = max((len(lines[i].strip()) for i in real), default=1)
-    folds = Counter(_folded(lines[i]) for i in real)
+    folded = [_folded(lines[i]) for i in real]
+    folds = Counter(folded)
+    often = [len(f) > 4 and folds[f] > 1 for f in folded]
     rows, repeats = [], []
     for k, i in enumerate(real):
         x = lines[i].strip()
@@ -84,8 +86,8 @@ def line_features(lines: list[str]) -> tuple[list[int], list[list[int]], list[in
         bare, number = bool(_BARE.match(x)), bool(_PAGE.match(x))
         stop = before[-1:] in ".!?:" or not before
         splits = not stop and after[:1].islower()
-        fold = _folded(x)
-        near = any(len(_folded(y)) > 4 and folds[_folded(y)] > 1 for y in (before, after))
+        fold = folded[k]
+        near = k > 0 and often[k - 1] or k + 1 < len(real) and often[k + 1]
         tokens = [
             "bias", f"shape={_shape(x)}" if not number else f"page={re.sub(r'[0-9]+', '9', x.lower())}", f"width={8 * len(' '.join(x.split())) // max(1, width)}",
             f"first={k == 0}|{number}", f"gap={i == 0 or not lines[i - 1].strip()}|{i + 1 >= len(lines) or not lines[i + 1].strip()}|{number}",
