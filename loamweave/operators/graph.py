@@ -12,6 +12,23 @@ from loamweave.operators.stage import stage
 #: Weights of the signals.
 LINK, OVERLAP, ADAMIC_ADAR, AFFINITY = 1.0, 0.6, 0.4, 0.3
 PER_NODE = 5
+#: Rows of one key that meet in one task.
+BLOCK = 2048
+
+
+def within(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, l, r): rows of one key met with one another, each two once, the one with the lesser ``name`` as struct l.
+
+    The rows of a key are cut into hash blocks of about ``BLOCK`` rows and blocks meet in
+    pairs, so a key with a third of all rows is spread over as many tasks as it has pairs
+    of blocks.
+    """
+    whole = F.struct(*[c for c in rows.columns if c != key])
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    cut = rows.select(key, whole.alias("x"), F.col(name).alias("_id")).join(sizes, key).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    left = cut.select(key, F.col("_own").alias("_a"), F.col("_other").alias("_b"), F.col("x").alias("l"))
+    right = cut.select(key, F.col("_other").alias("_a"), F.col("_own").alias("_b"), F.col("x").alias("r"))
+    return left.join(right, [key, "_a", "_b"]).where(F.col(f"l.{name}") < F.col(f"r.{name}")).select(key, "l", "r")
 
 
 def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -36,8 +53,8 @@ def overlap(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = sets.groupBy("sources").agg(F.min("page_id").alias("class_id"))
     members = sets.join(classes, "sources").select("page_id", "class_id")
     flat = classes.select(F.col("class_id").alias("id"), F.size("sources").alias("n"), F.explode("sources").alias("source"))
-    a, b = flat.select(F.col("id").alias("u"), F.col("n").alias("nu"), "source"), flat.select(F.col("id").alias("v"), F.col("n").alias("nv"), "source")
-    pairs = a.join(b, "source").where("u < v").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("shared"))
+    met = within(flat, "source", "id").select(F.col("l.id").alias("u"), F.col("l.n").alias("nu"), F.col("r.id").alias("v"), F.col("r.n").alias("nv"))
+    pairs = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("shared"))
     return pairs.select("u", "v", "shared", (F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))).alias("jaccard")), members
 
 
@@ -67,8 +84,7 @@ def adamic_adar(pairs: DataFrame) -> DataFrame:
     ways = both_ways(pairs)
     hubs = degrees(pairs).where("degree > 1").select(F.col("node").alias("mid"), (1 / F.log("degree")).alias("weight"))
     arms = ways.join(hubs, ways.b == hubs.mid).select("mid", "a", "weight")
-    left, right = arms.select("mid", F.col("a").alias("u"), "weight"), arms.select("mid", F.col("a").alias("v"))
-    wedges = left.join(right, "mid").where("u < v").groupBy("u", "v").agg(F.sum("weight").alias("score"))
+    wedges = within(arms, "mid", "a").select(F.col("l.a").alias("u"), F.col("r.a").alias("v"), "l.weight").groupBy("u", "v").agg(F.sum("weight").alias("score"))
     return wedges.join(pairs, ["u", "v"], "left_anti")
 
 

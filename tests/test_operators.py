@@ -261,3 +261,15 @@ def test_forced_dense_parts_overlap():
     text_ = "word " * 400
     got = [r for r in chunking.chunk_page("p", "T", text_) if r["chunk_kind"] == "dense"]
     assert len(got) > 2 and all(0 < a["end_char"] - b["start_char"] <= 4 * chunking.DENSE_OVERLAP + 3 for a, b in zip(got, got[1:])) and all(r["token_count"] <= chunking.DENSE_MOST for r in got)
+
+
+def test_rows_of_a_hot_key_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    data = [("hub", f"n{i:03d}") for i in range(60)] + [(f"k{i % 40}", f"m{i:03d}") for i in range(120)] + [("hub", "n000"), (None, "x")]
+    got = graph.within(spark.createDataFrame(data, "k string, id string").distinct(), "k", "id")
+    want = {(k, a, b) for k, a in data for k2, b in data if k is not None and k == k2 and a < b}
+    pairs = [(r.k, r.l.id, r.r.id) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    star = spark.createDataFrame([("a_hub", f"n{i:03d}") for i in range(60)], "u string, v string")
+    scores = graph.adamic_adar(star).collect()
+    assert len(scores) == 60 * 59 // 2 and {round(r.score, 9) for r in scores} == {round(1 / np.log(60), 9)}

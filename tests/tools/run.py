@@ -1,6 +1,7 @@
 """python tests/tools/run.py FOLDER QUERY...: time queries and compare them with their SQL in DuckDB."""
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -29,7 +30,7 @@ def rows(cols, data):
 def main() -> None:
     folder, names = sys.argv[1], sys.argv[2:]
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='run-')}")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
