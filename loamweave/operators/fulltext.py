@@ -1,17 +1,25 @@
 """BM25 over an inverted index.
 
 Statistics are taken over all documents, also when hits are restricted to some pages.
-Only postings of the asked terms are read; their number per document is small, so the
-scores of a query need one shuffle on (query, document).
+Only postings of the asked terms are read. They meet the queries in blocks, of which
+only the best of each query go on.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamweave.sources.tables import settle
+
 K1, B = 1.2, 0.75
+#: Documents and queries that meet in one block.
+DOCS, QUERIES = 20_000, 4096
 
 
 def terms_of(search_text: Column) -> Column:
@@ -60,17 +68,52 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term"))
 
 
+def _scored_block(k: int, key: str):
+    """The k best documents of a block for each query of a block, ties by key."""
+
+    def run(hits: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", key, "score"]
+        if not len(hits) or not len(asked):
+            return pd.DataFrame({n: [] for n in names})
+        terms, code = np.unique(hits["term"].to_numpy(dtype=str), return_inverse=True)
+        keys, doc = np.unique(hits[key].to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        doc, weight, start = doc[order], hits["weight"].to_numpy()[order], np.searchsorted(code[order], np.arange(len(terms) + 1))
+        wanted = asked["term"].to_numpy(dtype=str)
+        at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+        known = terms[at] == wanted
+        out = []
+        for query, rows in pd.Series(at[known]).groupby(asked["query_id"].to_numpy()[known], sort=False):
+            parts = [slice(start[t], start[t + 1]) for t in rows]
+            score = np.bincount(np.concatenate([doc[p] for p in parts]), np.concatenate([weight[p] for p in parts]), len(keys)).round(9)
+            hit = np.flatnonzero(score > 0)
+            if len(hit) > k:
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
+            best = hit[np.lexsort((hit, -score[hit]))][:k]
+            out.append(pd.DataFrame({"query_id": [query] * len(best), key: keys[best], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
+
+    return run
+
+
 def _best(hits: DataFrame, size: DataFrame, asked: DataFrame, k: int, key: str, within: DataFrame | None) -> DataFrame:
+    """Queries and documents meet in blocks, each of which gives the k best of every query, so scores of all pairs are never shuffled."""
+    n, mean = size.first()
+    settle(hits.sparkSession)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if within is not None:
         hits = hits.join(within.select(key).distinct(), key, "left_semi")
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (
-        F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (
+        F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
     )
-    weighted = hits.join(df, "term").crossJoin(F.broadcast(size)).select("term", key, weight.alias("weight"))  # one row
-    scored = weighted.join(asked, "term").groupBy("query_id", key).agg(F.sum("weight").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    n_docs, n_asked = max(1, math.ceil(n / DOCS)), max(1, math.ceil(asked.select("query_id").distinct().count() / QUERIES))
+    spot, every = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int"), lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = hits.join(df, "term").select(spot(key, n_docs).alias("db"), every(n_asked).alias("qb"), "term", key, weight.alias("weight"))
+    right = asked.select(every(n_docs).alias("db2"), spot("query_id", n_asked).alias("qb2"), "query_id", "term")
+    kinds = dict(asked.dtypes)["query_id"], dict(hits.dtypes)[key]
+    met = left.groupBy("db", "qb").cogroup(right.groupBy("db2", "qb2")).applyInPandas(_scored_block(k, key), f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id", text: str = "search_text", within: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamweave.sources.tables import settle
+
 ROWS_PER_BUCKET = 50_000
 
 
@@ -20,6 +22,7 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
+    settle(spark)
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local["):

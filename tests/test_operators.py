@@ -273,3 +273,14 @@ def test_rows_of_a_hot_key_meet_in_blocks(spark, monkeypatch):
     star = spark.createDataFrame([("a_hub", f"n{i:03d}") for i in range(60)], "u string, v string")
     scores = graph.adamic_adar(star).collect()
     assert len(scores) == 60 * 59 // 2 and {round(r.score, 9) for r in scores} == {round(1 / np.log(60), 9)}
+
+
+def test_groups_after_a_union_are_whole(spark):
+    from pyspark.sql.window import Window
+
+    from loamweave.sources.tables import settle
+
+    settle(spark)
+    top = lambda n: spark.range(n).select((F.col("id") % 7).alias("k"), F.col("id").alias("v")).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("v"))).where("r <= 5")
+    both = top(30).unionByName(top(300_000)).groupBy("k", "r").agg(F.count("*").alias("n"))
+    assert both.count() == 35 and both.where("n != 2").count() == 0

@@ -246,6 +246,10 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
             def get(key, default=None):
                 return default
 
+            @staticmethod
+            def set(key, value):
+                pass
+
     class Frame:
         sparkSession = Session()
 
