@@ -282,5 +282,5 @@ def test_groups_after_a_union_are_whole(spark):
 
     settle(spark)
     top = lambda n: spark.range(n).select((F.col("id") % 7).alias("k"), F.col("id").alias("v")).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("v"))).where("r <= 5")
-    both = top(30).unionByName(top(300_000)).groupBy("k", "r").agg(F.count("*").alias("n"))
+    both = top(70).unionByName(top(300_000)).groupBy("k", "r").agg(F.count("*").alias("n"))
     assert both.count() == 35 and both.where("n != 2").count() == 0
