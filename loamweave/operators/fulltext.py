@@ -72,9 +72,9 @@ def _scored_block(k: int, key: str):
     """The k best documents of a block for each query of a block, ties by key."""
 
     def run(hits: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", key, "score"]
+        none = pd.DataFrame({"query_id": pd.Series([], dtype=asked["query_id"].dtype), key: pd.Series([], dtype=hits[key].dtype), "score": pd.Series([], dtype=float)})
         if not len(hits) or not len(asked):
-            return pd.DataFrame({n: [] for n in names})
+            return none
         terms, code = np.unique(hits["term"].to_numpy(dtype=str), return_inverse=True)
         keys, doc = np.unique(hits[key].to_numpy(), return_inverse=True)
         order = np.argsort(code, kind="stable")
@@ -90,8 +90,10 @@ def _scored_block(k: int, key: str):
             if len(hit) > k:
                 hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
             best = hit[np.lexsort((hit, -score[hit]))][:k]
+            if not len(best):
+                continue
             out.append(pd.DataFrame({"query_id": [query] * len(best), key: keys[best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
+        return pd.concat(out) if out else none
 
     return run
 
