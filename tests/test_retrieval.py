@@ -50,6 +50,21 @@ def test_words_in_texts_equal_brute_force(spark):
     assert rows(got.select("key", "word")) == sorted((i, w) for i, b in enumerate(bodies) for w in set(words) if w and w in b)
 
 
+def test_words_of_any_runs_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    make = lambda n, most: ["".join(rng.choice(list("ab1/_. é😀"), rng.integers(0, most))) for _ in range(n)]
+    long = "ab" * 100 + "/" + "x" * 70
+    bodies, words = [*make(60, 25), long, "a/" + long], [*make(150, 7), long, long[1:], long[:-1], "x" * 70, "x" * 71, "b/x", "/" + "x" * 69, "ab" * 101]
+    got = substrings.containing(spark.createDataFrame([*enumerate(bodies), (99, bodies[0])], "key int, body string"), spark.createDataFrame([(w,) for w in words], "word string"))
+    assert rows(got.select("key", "word")) == sorted((i, w) for i, b in [*enumerate(bodies), (99, bodies[0])] for w in set(words) if w and w in b)
+
+
+def test_words_of_one_beginning_do_not_meet_every_text(spark):
+    names = [f"vault/wiki/page/alpha_d{i:07}_field.md" for i in range(400)]
+    met = substrings.candidates(spark.createDataFrame(enumerate(names), "h long, body string"), spark.createDataFrame([(n,) for n in [*names, *(n[16:31] for n in names)]], "word string"))
+    assert met.count() == 800
+
+
 CHUNKS = [("a1", "p", "s1", "dense", 1, "one"), ("a2", "p", "s1", "dense", 2, " one "), ("a3", "p", "s1", "dense", 3, "three"), ("a4", "p", "s2", "dense", 4, "four"), ("a9", "p", "s1", "sparse", 0, "raw"), ("q1", "q", "s", "dense", None, "")]
 
 
