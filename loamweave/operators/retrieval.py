@@ -36,15 +36,16 @@ def entity_nodes(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, entity, node_id) of entities (query_id, entity) in nodes (node_id, title, node_no): the first whose id or title equals it, else the first that contains it, letter case aside. Entities without a node and blank ones are left out.
 
     Equality is a join; only distinct names it leaves over are looked for inside names.
+    Every join is a merge, so that none of these tables, all without a bound, is broadcast.
     """
     names = entities.where("entity is not null and entity != ''").withColumn("name", F.lower("entity"))
     known = nodes.where("node_id is not null").select("node_id", "node_no", F.explode(F.array(F.lower("node_id"), F.coalesce(F.lower("title"), F.lit("")))).alias("body"))
     first = F.min(F.struct("node_no", "node_id")).alias("n")
     wanted = names.select("name").distinct()
-    exact = wanted.join(known.withColumnRenamed("body", "name"), "name").groupBy("name").agg(first)
-    left = wanted.join(exact, "name", "left_anti").withColumnRenamed("name", "word")
+    exact = wanted.join(known.withColumnRenamed("body", "name").hint("merge"), "name").groupBy("name").agg(first)
+    left = wanted.join(exact.hint("merge"), "name", "left_anti").withColumnRenamed("name", "word")
     part = containing(known, left).withColumnRenamed("word", "name").groupBy("name").agg(first)
-    return names.join(exact.unionByName(part), "name").select("query_id", "entity", F.col("n.node_id").alias("node_id")).distinct()
+    return names.join(exact.unionByName(part).hint("merge"), "name").select("query_id", "entity", F.col("n.node_id").alias("node_id")).distinct()
 
 
 def seeds_of(direct: DataFrame, entities: DataFrame | None = None, most: int = SEEDS) -> DataFrame:

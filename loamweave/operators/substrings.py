@@ -62,9 +62,9 @@ def candidates(texts: DataFrame, words: DataFrame) -> DataFrame:
     keys = held.groupBy("run").agg(F.count("*").alias("n")).select("run", "n", F.explode(_keys_of_run(F.col("run"))).alias("k")).select("run", "n", "k.kind", "k.key")
     totals = keys.groupBy("kind", "key").agg(F.sum("n").alias("total"))
     asked = words.select("word", F.explode(_keys_of_word(_runs("word"))).alias("k")).select("word", "k.kind", "k.key")
-    rarest = asked.join(totals, ["kind", "key"], "left").groupBy("word").agg(F.min(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "kind", "key")).alias("r")).where("r.total > 0")
-    runs = rarest.select("word", "r.kind", "r.key").join(keys, ["kind", "key"]).select("word", "run")
-    return runs.join(held, "run").select("h", "word").distinct()
+    rarest = asked.join(totals.hint("merge"), ["kind", "key"], "left").groupBy("word").agg(F.min(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "kind", "key")).alias("r")).where("r.total > 0")
+    runs = rarest.select("word", "r.kind", "r.key").join(keys.hint("merge"), ["kind", "key"]).select("word", "run")
+    return runs.join(held.hint("merge"), "run").select("h", "word").distinct()
 
 
 def containing(bodies: DataFrame, words: DataFrame) -> DataFrame:
@@ -74,4 +74,4 @@ def containing(bodies: DataFrame, words: DataFrame) -> DataFrame:
     """
     hashed = bodies.where("body is not null").withColumn("h", F.xxhash64("body"))
     met = candidates(hashed.select("h", "body").distinct(), words.where("word is not null and word != ''").select("word").distinct())
-    return hashed.join(met, "h").where(F.col("body").contains(F.col("word"))).drop("h")
+    return hashed.join(met.hint("merge"), "h").where(F.col("body").contains(F.col("word"))).drop("h")

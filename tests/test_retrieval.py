@@ -42,6 +42,15 @@ def test_entities_by_equality_then_by_part(spark):
     assert rows(seeds) == [(1, "a", 1), (1, "c", 2)]
 
 
+def test_entities_broadcast_no_table(spark):
+    nodes = spark.range(50).selectExpr("concat('p/one_', id, '.md') as node_id", "concat('Camera ', id) as title", "id as node_no")
+    got = retrieval.entity_nodes(nodes.selectExpr("node_no as query_id", "explode(array(title, concat('one_', node_no, '.'), 'zzz')) as entity"), nodes)
+    assert got.count() == 100
+    got.write.format("noop").mode("overwrite").save()
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "Broadcast" not in plan.toString() and "SortMergeJoin" in plan.toString()
+
+
 def test_words_in_texts_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     make = lambda n, most: ["".join(rng.choice(list("ab "), rng.integers(0, most))) for _ in range(n)]
