@@ -307,8 +307,9 @@ def test_report_selection_names_every_member(spark, tmp_path):
     names = [f"p/n{i:04}.md" for i in range(1200)]
     edges = [*zip(names[:-1], names[1:]), ("q/a.md", "q/b.md"), ("q/, b", "q/c"), ("r", "s")]
     asked = [(1, "p/n1199.md"), (1, "p/n1100.md"), (2, "q/b.md"), (2, "p/n0063.md, p/n0064.md"), (2, ", p/n0128"), (3, "1: q/, b, q/c"), (3, "Q/C"), (4, "none"), (5, "y 0 community 0: p/n0000"), (6, ", ".join(names[60:200])), (6, ", ".join([*names[60:200], "x"]))]
-    spark.createDataFrame(edges, "source_id string, target_id string").write.parquet(f"{tmp_path}/graph_edges.parquet")
+    spark.createDataFrame([(*e, 1.0, []) for e in edges], "source_id string, target_id string, weight double, edge_signals array<string>").write.parquet(f"{tmp_path}/graph_edges.parquet")
     spark.createDataFrame([(q, p, "fused") for q, p in asked], "query_id long, page_id string, retrieval_method string").write.parquet(f"{tmp_path}/retrieved_pages.parquet")
+    spark.createDataFrame([(n, None, "1") for n in names], "page_id string, updated_at timestamp, sha256 string").write.parquet(f"{tmp_path}/wiki_pages.parquet")
     con = duckdb.connect()
     for name in ("graph_edges", "retrieved_pages"):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
